@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, simhash
+from . import bpe, common, exact, simhash
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(common.table(spark, sf_dir, "documents"))
+
+
+def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(common.table(spark, sf_dir, "documents"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_simhash": op8_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op2_bpe": op2_bpe, "op4_exact": op4_exact, "op8_simhash": op8_simhash}
+ORACLE_SQL = {"op4_exact": exact.ORACLE}
