@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact, simhash
+from . import bpe, common, decontam, exact, simhash
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +15,13 @@ def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_exact": op4_exact, "op8_simhash": op8_simhash}
-ORACLE_SQL = {"op4_exact": exact.ORACLE}
+QUERIES = {"op2_bpe": op2_bpe, "op4_exact": op4_exact, "op5_decontamination": op5_decontamination, "op8_simhash": op8_simhash}
+ORACLE_SQL = {"op4_exact": exact.ORACLE, "op5_decontamination": decontam.ORACLE}
