@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, exact, simhash
+from . import bpe, common, decontam, exact, langid, quality, simhash, toxicity
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(common.table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(common.table(spark, sf_dir, "documents"))
+
+
 def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(common.table(spark, sf_dir, "documents"))
 
@@ -19,9 +24,28 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_exact": op4_exact, "op5_decontamination": op5_decontamination, "op8_simhash": op8_simhash}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.annotate(docs, common.table(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", common.held_out("doc_id", 4, 2).alias("held_out"), "score", predicted)
+
+
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op3_language": op3_language,
+    "op4_exact": op4_exact,
+    "op5_decontamination": op5_decontamination,
+    "op6_toxicity": op6_toxicity,
+    "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
+}
 ORACLE_SQL = {"op4_exact": exact.ORACLE, "op5_decontamination": decontam.ORACLE}
