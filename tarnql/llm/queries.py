@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, exact, langid, pii, quality, simhash, toxicity
+from . import bpe, common, decontam, exact, langid, lm, pii, quality, simhash, toxicity
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", common.held_out("doc_id", 4, 2).alias("held_out"), "score", predicted)
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
@@ -52,5 +56,6 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
+    "op10_lm": op10_lm,
 }
 ORACLE_SQL = {"op4_exact": exact.ORACLE, "op5_decontamination": decontam.ORACLE}

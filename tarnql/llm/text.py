@@ -100,9 +100,9 @@ def blocks(texts: list[bytes], classes: np.ndarray):
         yield who, parts
 
 
-def tokens(texts: list[bytes], classes: np.ndarray = WORDS, prefix: int = 0):
+def tokens(texts: list[bytes], classes: np.ndarray = WORDS, prefix: int = 0, suffix: int = 0):
     """Hashes of all tokens in order, tokens per text, and with ``prefix`` the hashes of
-    the tokens' first bytes (0 for a token no longer than that)."""
+    the tokens' first bytes (0 for a token no longer than that), with ``suffix`` of the last."""
     counts = np.zeros(len(texts), np.int64)
     hashes, heads = [], []
     for who, parts in blocks(texts, classes):
@@ -119,8 +119,10 @@ def tokens(texts: list[bytes], classes: np.ndarray = WORDS, prefix: int = 0):
             head = np.zeros(len(starts), np.uint64)
             head[longer] = stretch_hashes(sums, starts[longer], starts[longer] + prefix)
             heads.append(head)
+        if suffix:
+            heads.append(stretch_hashes(sums, np.maximum(starts, ends - suffix), ends))
     join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.uint64)
-    return (join(hashes), counts, join(heads)) if prefix else (join(hashes), counts)
+    return (join(hashes), counts, join(heads)) if prefix or suffix else (join(hashes), counts)
 
 
 def word_hash(word: bytes) -> int:
