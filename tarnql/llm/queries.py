@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, exact, langid, lm, pii, quality, simhash, toxicity
+from . import bpe, chat, common, decontam, exact, langid, lm, pii, quality, simhash, toxicity
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(common.table(spark, sf_dir, "conversations"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
@@ -54,8 +58,9 @@ QUERIES = {
     "op4_exact": op4_exact,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op7_chat": op7_chat,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_lm": op10_lm,
 }
-ORACLE_SQL = {"op4_exact": exact.ORACLE, "op5_decontamination": decontam.ORACLE}
+ORACLE_SQL = {"op4_exact": exact.ORACLE, "op5_decontamination": decontam.ORACLE, "op7_chat": chat.ORACLE}
