@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -239,8 +239,14 @@ PAIRS: dict[str, Pair] = {
 }
 
 
+@lru_cache(maxsize=8)
+def catalog(sf_dir: str) -> Catalog:
+    """One catalog a folder: tables are finished files, so they are listed once."""
+    return Catalog.folder(sf_dir)
+
+
 def run(spark: SparkSession, sf_dir: str, pair: Pair) -> DataFrame:
-    df = query(spark, Catalog.folder(sf_dir), pair.text)
+    df = query(spark, catalog(sf_dir), pair.text)
     if pair.digits is None:
         return df
     return df.select(*[F.round(f.name, pair.digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema])
