@@ -77,23 +77,23 @@ KINDS = (
     ),
     Kind(
         "ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]",
-        lambda x: x.rlike(rf"^{_octet}(?:\.{_octet}){{3}}$"), 0.6, r"\bip\b|address|server|host|client", 0.3,
+        lambda x: x.rlike(rf"^{_octet}(?:\.{_octet}){{3}}$"), 0.6, r"(?:^|[^a-z])ip(?:[^a-z]|$)|address|server|host|client", 0.3,
     ),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9]", _card, 0.8, r"card|visa|master|credit|debit|payment|cvv", 0.2),
     Kind(
         "phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]",
-        lambda x: F.length(_digits(x)).between(10, 15), 0.7, r"phone|\btel|call|mobile|fax|contact", 0.3,
+        lambda x: F.length(_digits(x)).between(10, 15), 0.7, r"phone|(?:^|[^a-z])tel|call|mobile|fax|contact", 0.3,
     ),
     Kind(
         "iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", "[A-Z]{2}[0-9]{2}", _mod97, 0.8, r"iban|account|bank|konto|compte|cuenta", 0.2,
         base=False, before="[A-Za-z0-9]", after="[A-Za-z0-9]",
     ),
     Kind(
-        "ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]{3}-[0-9]{2}-", _security, 0.4, r"\bssn\b|social security|security number", 0.5,
+        "ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]{3}-[0-9]{2}-", _security, 0.4, r"(?:^|[^a-z])ssn(?:[^a-z]|$)|social security|security number", 0.5,
         base=False, before="[0-9-]", after="[0-9-]",
     ),
     Kind(
-        "localphone", r"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}", "[0-9]{3}[.-][0-9]{4}", lambda x: F.lit(True), 0.4, r"phone|\btel|call|mobile|fax", 0.4,
+        "localphone", r"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}", "[0-9]{3}[.-][0-9]{4}", lambda x: F.lit(True), 0.4, r"phone|(?:^|[^a-z])tel|call|mobile|fax", 0.4,
         base=False, before="[0-9+.-]", after="[0-9.-]",
     ),
 )
@@ -205,3 +205,61 @@ def masked(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate("found", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(whole, a["at"] + 1)))
     return rows.select("doc_id", F.when(F.col("text").isNotNull(), done).alias("text"))
+
+
+def _oracle() -> str:
+    """The digests in SQL for another engine, with the contract's own patterns."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+    }
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    values = ", ".join(
+        f"({quote(k.name)}, {rank}, {quote(plain.get(k.name, k.pattern))}, {quote(k.context)}, {k.score}, {round(k.score + k.bonus, 2)}, {quote(k.before or '$^x')}, {quote(k.after or '$^x')})"
+        for rank, k in enumerate(KINDS)
+    )
+    base = ", ".join(map(quote, BASE))
+    counts = ", ".join(f"count(*) FILTER (kind = {quote(k)}) AS n_{k}" for k in BASE)
+    zeros = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k(kind, rank, pattern, context, low, high, before, after) AS (VALUES {values}),
+m AS (
+  SELECT r, k.*, string_split_regex(t, pattern) AS g, regexp_extract_all(t, pattern) AS v FROM d, k
+  WHERE regexp_matches(t, '[0-9@]') AND regexp_matches(t, pattern)
+),
+x AS (
+  SELECT r, kind, rank, v[i] AS v, g[i] AS gb, g[i + 1] AS ga, before, after, regexp_replace(v[i], '[^0-9]', '', 'g') AS digits,
+         CAST(list_sum(list_transform(g[1 : i], lambda s: length(s))) + coalesce(list_sum(list_transform(v[1 : i - 1], lambda s: length(s))), 0) AS BIGINT) AS a,
+         CASE WHEN regexp_matches(lower(right(g[i], {NEAR}) || ' ' || left(g[i + 1], {NEAR})), context) THEN high ELSE low END AS score
+  FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM m)
+),
+ok AS (
+  SELECT r, kind, rank, a, a + length(v) AS b, score FROM (SELECT *, replace(v, ' ', '') AS p FROM x)
+  WHERE CASE kind
+    WHEN 'email' THEN TRUE
+    WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda s: length(ltrim(s, '0')) > 3 OR CAST('0' || left(ltrim(s, '0'), 3) AS INTEGER) > 255)) = 0
+    WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda j:
+      CASE WHEN j % 2 = 1 THEN CAST(reverse(digits)[j] AS INTEGER) ELSE 2 * CAST(reverse(digits)[j] AS INTEGER) - CASE WHEN CAST(reverse(digits)[j] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+    WHEN 'iban' THEN length(p) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(p[5:] || p[1:4], ''), lambda c:
+      CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda q, n: CASE WHEN n > 9 THEN (q * 100 + n) % 97 ELSE (q * 10 + n) % 97 END) = 1
+    WHEN 'ssn' THEN NOT regexp_matches(v, '^(?:000|666|9)') AND NOT regexp_matches(v, '-00-') AND NOT regexp_matches(v, '-0000$')
+    ELSE TRUE END
+  AND NOT regexp_matches(right(gb, 1), before) AND NOT regexp_matches(left(ga, 1), after)
+  AND (kind IN ({base}) OR score >= {REPORT})
+),
+s AS (
+  SELECT r, {counts},
+         string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank, b) FILTER (kind IN ({base})) AS base,
+         string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank, b) AS spans,
+         string_agg(printf('%.2f', CAST(score AS DOUBLE)), ',' ORDER BY a, rank, b) AS scores
+  FROM ok GROUP BY r
+)
+SELECT doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM d LEFT JOIN s ON d.r = s.r
+"""
+
+
+ORACLE = _oracle()

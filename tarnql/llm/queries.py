@@ -63,4 +63,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_lm": op10_lm,
 }
-ORACLE_SQL = {"op4_exact": exact.ORACLE, "op5_decontamination": decontam.ORACLE, "op7_chat": chat.ORACLE}
+ORACLE_SQL = {"op1_pii": pii.ORACLE, "op4_exact": exact.ORACLE, "op5_decontamination": decontam.ORACLE, "op7_chat": chat.ORACLE}

@@ -32,7 +32,7 @@ def oracle(name):
     return con.sql(__spark_entry__.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["op4_exact", "op5_decontamination", "op7_chat"])
+@pytest.mark.parametrize("name", ["op1_pii", "op4_exact", "op5_decontamination", "op7_chat"])
 def test_oracles(spark, name):
     wanted = oracle(name)
     got = __spark_entry__.queries()[name](spark, TESTDATA).select(*wanted.columns).collect()
@@ -95,6 +95,18 @@ def test_pii(spark, odd, nothing):
     assert "Python" not in pii.digests(odd)._jdf.queryExecution().toString()
 
 
+def test_pii_oracle_on_odd_texts(spark, tmp_path):
+    r = random.Random(7)
+    parts = ["1", "4", "1.", "0256.2", "@", "a@b.c", "+", "+1 ", "-", " ", "4111 1111 1111 1111", "1.2.3.4", " ip ", "call ", "tel. ", "é😀", "DE89 3704 0044 0532 0130 00", " iban ", "123-45-6789", " ssn ", "(555) 123-4567", "\n"]
+    rows = [(k, "".join(r.choice(parts) for _ in range(r.randint(0, 25)))) for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "d.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet/*.parquet'")
+    wanted = con.sql(pii.ORACLE)
+    assert sorted(map(tuple, pii.digests(df).select(*wanted.columns).collect())) == sorted(wanted.fetchall())
+
+
 def test_pii_beyond_the_base(spark):
     texts = ["IBAN DE89 3704 0044 0532 0130 00.", "IBAN DE89 3704 0044 0532 0130 01.", "my social security number 123-45-6789", "part 123-45-6789", "call (555) 123-4567", "no 5551234567"]
     found = pii.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
