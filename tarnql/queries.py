@@ -230,33 +230,34 @@ PAIRS: dict[str, Pair] = {
     "p6_sorted_aggregate": Pair("SELECT l_partkey, SUM(l_quantity) AS q FROM lineitem GROUP BY l_partkey ORDER BY q DESC, l_partkey LIMIT 25"),
     # benchmark queries; dates as the supplied tables have them
     "tpch_q1": Pair(
-        "SELECT l_returnflag, l_linestatus, SUM(l_quantity) AS sum_qty, SUM(l_extendedprice) AS sum_base, SUM(l_extendedprice * (1 - l_discount)) AS sum_disc, "
-        "SUM(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS sum_charge, AVG(l_quantity) AS avg_qty, AVG(l_discount) AS avg_disc, COUNT(*) AS n "
-        "FROM lineitem WHERE l_shipdate <= '1998-09-02' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus",
-        "SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 2) AS sum_qty, ROUND(SUM(l_extendedprice), 2) AS sum_base, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, "
-        "ROUND(SUM(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, ROUND(AVG(l_quantity), 2) AS avg_qty, ROUND(AVG(l_discount), 2) AS avg_disc, COUNT(*) AS n "
-        "FROM lineitem WHERE l_shipdate <= '1998-09-02' GROUP BY l_returnflag, l_linestatus",
+        "SELECT li.l_returnflag, li.l_linestatus, COUNT(*) AS n, AVG(li.l_quantity) AS avg_qty, AVG(li.l_discount) AS avg_disc, SUM(li.l_quantity) AS sum_qty, "
+        "SUM(li.l_extendedprice) AS sum_base, SUM(li.l_extendedprice * (1 - li.l_discount)) AS sum_disc, SUM(li.l_extendedprice * (1 - li.l_discount) * (1 + li.l_tax)) AS sum_charge "
+        "FROM lineitem li WHERE li.l_shipdate <= '1998-09-02' GROUP BY li.l_linestatus, li.l_returnflag ORDER BY li.l_returnflag, li.l_linestatus",
+        "SELECT li.l_returnflag, li.l_linestatus, COUNT(*) AS n, ROUND(AVG(li.l_quantity), 2) AS avg_qty, ROUND(AVG(li.l_discount), 2) AS avg_disc, ROUND(SUM(li.l_quantity), 2) AS sum_qty, "
+        "ROUND(SUM(li.l_extendedprice), 2) AS sum_base, ROUND(SUM(li.l_extendedprice * (1 - li.l_discount)), 2) AS sum_disc, ROUND(SUM(li.l_extendedprice * (1 - li.l_discount) * (1 + li.l_tax)), 2) AS sum_charge "
+        "FROM lineitem li WHERE li.l_shipdate <= '1998-09-02' GROUP BY li.l_linestatus, li.l_returnflag",
         2,
     ),
     "tpch_q6": Pair(
-        "SELECT SUM(l_extendedprice * l_discount) AS revenue FROM lineitem WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
-        "SELECT ROUND(SUM(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
+        "SELECT SUM(li.l_discount * li.l_extendedprice) AS revenue FROM lineitem li WHERE li.l_quantity < 24 AND li.l_discount BETWEEN 0.05 AND 0.07 AND li.l_shipdate >= '1996-01-01' AND li.l_shipdate < '1997-01-01'",
+        "SELECT ROUND(SUM(li.l_discount * li.l_extendedprice), 2) AS revenue FROM lineitem li WHERE li.l_quantity < 24 AND li.l_discount BETWEEN 0.05 AND 0.07 AND li.l_shipdate >= '1996-01-01' AND li.l_shipdate < '1997-01-01'",
         2,
     ),
     "tpch_q3": Pair(
-        "SELECT l_orderkey, SUM(l_extendedprice * (1 - l_discount)) AS revenue, o_orderdate FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey "
-        "AND l_orderkey = o_orderkey AND o_orderdate < '1998-03-15' AND l_shipdate > '1998-03-15' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10",
-        "SELECT l_orderkey, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, CAST(o_orderdate AS DATE) AS o_orderdate FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey "
-        "AND l_orderkey = o_orderkey AND o_orderdate < '1998-03-15' AND l_shipdate >= '1998-03-16' GROUP BY l_orderkey, o_orderdate ORDER BY SUM(l_extendedprice * (1 - l_discount)) DESC, o_orderdate, l_orderkey LIMIT 10",
+        "SELECT li.l_orderkey, o.o_orderdate, SUM(li.l_extendedprice * (1 - li.l_discount)) AS revenue FROM customer c, orders o, lineitem li WHERE o.o_custkey = c.c_custkey AND li.l_orderkey = o.o_orderkey "
+        "AND c.c_mktsegment = 'BUILDING' AND li.l_shipdate > '1998-03-15' AND o.o_orderdate < '1998-03-15' GROUP BY o.o_orderdate, li.l_orderkey ORDER BY revenue DESC, o.o_orderdate, li.l_orderkey LIMIT 10",
+        "SELECT li.l_orderkey, CAST(o.o_orderdate AS DATE) AS o_orderdate, ROUND(SUM(li.l_extendedprice * (1 - li.l_discount)), 2) AS revenue FROM customer c, orders o, lineitem li WHERE o.o_custkey = c.c_custkey "
+        "AND li.l_orderkey = o.o_orderkey AND c.c_mktsegment = 'BUILDING' AND li.l_shipdate >= '1998-03-16' AND o.o_orderdate < '1998-03-15' GROUP BY o.o_orderdate, li.l_orderkey "
+        "ORDER BY SUM(li.l_extendedprice * (1 - li.l_discount)) DESC, o.o_orderdate, li.l_orderkey LIMIT 10",
         2,
     ),
     "tpch_q12_shaped": Pair(
-        "SELECT l_returnflag, SUM(CASE WHEN o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END) AS high, "
-        "SUM(CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderpriority <> '2-HIGH' THEN 1 ELSE 0 END) AS low FROM orders, lineitem "
-        "WHERE o_orderkey = l_orderkey AND l_shipdate >= '1996-01-01' AND l_shipdate < '1997-01-01' GROUP BY l_returnflag ORDER BY l_returnflag",
-        "SELECT l_returnflag, CAST(SUM(CASE WHEN o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS high, "
-        "CAST(SUM(CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderpriority <> '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS low FROM orders, lineitem "
-        "WHERE o_orderkey = l_orderkey AND l_shipdate >= '1996-01-01' AND l_shipdate < '1997-01-01' GROUP BY l_returnflag",
+        "SELECT li.l_returnflag, SUM(CASE WHEN o.o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS high, "
+        "SUM(CASE WHEN o.o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS low FROM orders o, lineitem li "
+        "WHERE li.l_orderkey = o.o_orderkey AND li.l_shipdate < '1997-01-01' AND li.l_shipdate >= '1996-01-01' GROUP BY li.l_returnflag ORDER BY li.l_returnflag",
+        "SELECT li.l_returnflag, CAST(SUM(CASE WHEN o.o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high, "
+        "CAST(SUM(CASE WHEN o.o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS low FROM orders o, lineitem li "
+        "WHERE li.l_orderkey = o.o_orderkey AND li.l_shipdate < '1997-01-01' AND li.l_shipdate >= '1996-01-01' GROUP BY li.l_returnflag",
     ),
 }
 
