@@ -21,7 +21,7 @@ HIDDEN, HEAD, WIDTH, TAIL = 16, 1024, 32, 32
 HEAD_CLASSES = HEAD // WIDTH
 CLASSES = HEAD_CLASSES + TAIL
 START = HEAD + TAIL
-TRAIN_LANES, TRAIN_WINDOW = 64, 32
+TRAIN_LANES, TRAIN_WINDOW = 128, 16
 SCORE_LANES, SCORE_WINDOW = 256, 64
 RATE = 0.1
 NAMES = ("E", "U", "V", "Wc", "bc", "Ww", "bw")
@@ -69,33 +69,48 @@ def lanes(ids: np.ndarray, lengths: np.ndarray, width: int):
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _forward(m, given, h):
     """States after each step of a window, and what its gradient needs."""
     H = HIDDEN
     states, kept = np.empty((*given.shape, H), np.float32), []
+    gates = m["E"][given]
+    goes_on = (given != START).astype(np.float32)[..., None]
     for t in range(len(given)):
-        h = np.where((given[t] == START)[:, None], np.float32(0), h)
-        a = m["E"][given[t]]
-        g = _sigmoid(a[:, : 2 * H] + h @ m["U"])
+        h = h * goes_on[t]
+        g = h @ m["U"]
+        g += gates[t, :, : 2 * H]
+        g = _sigmoid(g)
         z, r = g[:, :H], g[:, H:]
         rh = r * h
-        n = np.tanh(a[:, 2 * H :] + rh @ m["V"])
+        n = rh @ m["V"]
+        n += gates[t, :, 2 * H :]
+        np.tanh(n, out=n)
         kept.append((h, z, r, rh, n))
-        h = z * h + (1 - z) * n
+        h = n + z * (h - n)
         states[t] = h
-    return states, h, kept
+    return states, h, kept, goes_on
 
 
 def _classes(ids: np.ndarray) -> np.ndarray:
     return np.where(ids < HEAD, ids // WIDTH, ids - HEAD + HEAD_CLASSES)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row, the logarithm of one entry's probability, and all probabilities (in place)."""
+    x -= x.max(axis=1, keepdims=True)
+    rows = np.arange(len(at))
+    chosen = x[rows, at]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    x /= total[:, None]
+    return chosen - np.log(total), x
 
 
 def _by_class(ids: np.ndarray):
@@ -115,13 +130,13 @@ def log_likelihoods(m, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     for k in range(0, len(given), SCORE_WINDOW):
         n = int((target[k] >= 0).sum())
         x, y, d = (a[k : k + SCORE_WINDOW, :n] for a in (given, target, text))
-        states, h, _ = _forward(m, x, h[:n])
+        states, h, _, _ = _forward(m, x, h[:n])
         live = y >= 0
         s, y, d = states[live], y[live], d[live]
-        logp = _log_softmax(s @ m["Wc"] + m["bc"])[np.arange(len(y)), _classes(y)]
+        logp, _ = _softmax(s @ m["Wc"] + m["bc"], _classes(y))
         for c, at in _by_class(y):
             own = slice(c * WIDTH, (c + 1) * WIDTH)
-            logp[at] += _log_softmax(s[at] @ m["Ww"][own].T + m["bw"][own])[np.arange(len(at)), y[at] - c * WIDTH]
+            logp[at] += _softmax(s[at] @ m["Ww"][own].T + m["bw"][own], y[at] - c * WIDTH)[0]
         out += np.bincount(d, logp, len(lengths))
     return out
 
@@ -129,41 +144,43 @@ def log_likelihoods(m, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def _gradients(m, x, y, h):
     """Of the mean loss of a window; also the state at its end and the summed loss."""
     H = HIDDEN
-    states, last, kept = _forward(m, x, h)
+    states, last, kept, goes_on = _forward(m, x, h)
     live = y >= 0
     s, t = states[live], y[live]
     n = np.float32(len(t))
     cls = _classes(t)
-    logp = _log_softmax(s @ m["Wc"] + m["bc"])
-    loss = -logp[np.arange(len(t)), cls].sum()
-    p = np.exp(logp)
+    logp, p = _softmax(s @ m["Wc"] + m["bc"], cls)
+    loss = -logp.sum()
     p[np.arange(len(t)), cls] -= 1
     g = {"Wc": s.T @ p, "bc": p.sum(axis=0), "Ww": np.zeros_like(m["Ww"]), "bw": np.zeros_like(m["bw"])}
     ds = p @ m["Wc"].T
     for c, at in _by_class(t):
         own = slice(c * WIDTH, (c + 1) * WIDTH)
-        logp = _log_softmax(s[at] @ m["Ww"][own].T + m["bw"][own])
-        loss -= logp[np.arange(len(at)), t[at] - c * WIDTH].sum()
-        q = np.exp(logp)
+        logp, q = _softmax(s[at] @ m["Ww"][own].T + m["bw"][own], t[at] - c * WIDTH)
+        loss -= logp.sum()
         q[np.arange(len(at)), t[at] - c * WIDTH] -= 1
         g["Ww"][own], g["bw"][own] = q.T @ s[at], q.sum(axis=0)
         ds[at] += q @ m["Ww"][own]
     dstates = np.zeros_like(states)
     dstates[live] = ds
-    g["U"], g["V"] = np.zeros_like(m["U"]), np.zeros_like(m["V"])
     da = np.empty((*x.shape, 3 * H), np.float32)
     dh = np.zeros_like(h)
     for k in range(len(x) - 1, -1, -1):
         h0, z, r, rh, cand = kept[k]
         dh = dh + dstates[k]
-        dn = dh * (1 - z) * (1 - cand * cand)
+        keep = dh * z
+        dn = (dh - keep) * (1 - cand * cand)
         drh = dn @ m["V"].T
-        dzr = np.concatenate([dh * (h0 - cand) * z * (1 - z), drh * h0 * r * (1 - r)], axis=1)
-        da[k, :, : 2 * H], da[k, :, 2 * H :] = dzr, dn
-        g["U"] += h0.T @ dzr
-        g["V"] += rh.T @ dn
-        dh = np.where((x[k] == START)[:, None], np.float32(0), dh * z + drh * r + dzr @ m["U"].T)
-    flat, order = da.reshape(-1, 3 * H), np.argsort(x.ravel(), kind="stable")
+        dzr = da[k, :, : 2 * H]
+        np.multiply((h0 - cand) * (1 - z), keep, out=dzr[:, :H])
+        back = drh * r
+        np.multiply(back * h0, 1 - r, out=dzr[:, H:])
+        da[k, :, 2 * H :] = dn
+        dh = (keep + back + dzr @ m["U"].T) * goes_on[k]
+    flat = da.reshape(-1, 3 * H)
+    g["U"] = np.concatenate([k[0] for k in kept]).T @ flat[:, : 2 * H]
+    g["V"] = np.concatenate([k[3] for k in kept]).T @ flat[:, 2 * H :]
+    order = np.argsort(x.ravel(), kind="stable")
     sorted_ids = x.ravel()[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
     rows = sorted_ids[first], np.add.reduceat(flat[order], first, axis=0) / n
