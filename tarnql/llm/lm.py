@@ -26,6 +26,8 @@ from . import common, gru, text
 CHUNK_TOKENS = 2_000_000
 #: Entries (distinct words of chunks) in one range of hashes, about.
 RANGE_ENTRIES = 2_000_000
+#: Ranges or chunks in one partition, about, where the session's number of partitions would give more.
+GROUPS = 16
 #: Stands for the end of a text; a word's hash is the same only by a chance of 2**-64.
 END = np.uint64(0x5851F42D4C957F2D)
 SUFFIX = 3
@@ -249,10 +251,11 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     fold = common.fold("doc_id", 5)
     rows = docs.select("doc_id", "text", F.coalesce(fold != 1, F.lit(False)).alias("trained"))
     chunks = common.stored(common.map_arrow(rows, lambda b: _chunks(b, chunk_tokens), _CHUNK.format(kind)))
-    entries = chunks.agg(F.sum("n_words")).first()[0] or 0
-    n = max(-(-entries // RANGE_ENTRIES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    entries, n_chunks = chunks.agg(F.sum("n_words"), F.count("*")).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(-(-(entries or 0) // RANGE_ENTRIES), least)
     pieces = common.map_arrow(chunks.select("chunk", "words", "tails", "counts"), lambda b: _ranges(b, n), "range int, chunk long, words binary, tails binary, counts binary")
-    totals = common.stored(pieces.groupBy("range").applyInArrow(_totals, _TOTALS))
+    totals = common.stored(pieces.repartition(max(least, n // GROUPS), "range").groupBy("range").applyInArrow(_totals, _TOTALS))
     corpus = Corpus(totals)
     sent = spark.sparkContext.broadcast(corpus)  # HEAD words
 
@@ -266,9 +269,12 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     model = spark.sparkContext.broadcast(start)
     common.ship(spark)
     scored = chunks.select("chunk", "doc_ids", "lengths", "tokens", "words", "tails")
+    parts = max(least, n_chunks // GROUPS)
+    counted = totals.where("chunk IS NOT NULL").select("chunk", "range", "totals").repartition(parts, "chunk")
     scored = (
-        scored.groupBy("chunk")
-        .cogroup(totals.where("chunk IS NOT NULL").select("chunk", "range", "totals").groupBy("chunk"))
+        scored.repartition(parts, "chunk")
+        .groupBy("chunk")
+        .cogroup(counted.groupBy("chunk"))
         .applyInArrow(lambda a, b: _scored(a, b, sent, model), _SCORED.format(kind))
     )
     return scored.select("doc_id", common.held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", F.lit(corpus.n).cast("long").alias("train_tokens"), "base_score", "score")
