@@ -91,3 +91,8 @@ def test_command_line(spark, capsys):
     assert main([f"{TESTDATA}/region.parquet", f"{TESTDATA}/region.parquet", "SELECT 1 FROM region"]) == 1
     assert "two files" in capsys.readouterr().err
     assert main([]) == 2
+    assert main(["-w", "2", f"{TESTDATA}/region.parquet", "SELECT r_name, r_regionkey / 0 AS q FROM region ORDER BY r_name DESC LIMIT 1"]) == 0
+    shown = capsys.readouterr()
+    assert shown.out.split() == ["r_name", "q", "MIDDLE", "EAST", "NULL"] and shown.err.endswith("\n(1 row)\n")
+    assert main([f"{TESTDATA}/region.parquet", "SELECT nothing FROM region"]) == 1 and "unknown column" in capsys.readouterr().err
+    assert main(["fsck", f"{TESTDATA}/region.parquet"]) == 0
