@@ -41,7 +41,7 @@ def ship(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` over slices of bounded size."""
     ship(df.sparkSession)
-    return df.mapInArrow(lambda batches: function(sorted_batches(batches)), schema)
+    return df.mapInArrow(lambda batches: function(slices(batches)), schema)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -110,7 +110,17 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, k: int, remainder:
     return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
-def sorted_batches(batches):
+def release() -> None:
+    """Gives memory back that Arrow keeps after large results, so that it doesn't add to what comes next."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+def slices(batches):
     """Arrow batches cut so that no slice holds more than about 16 MB of text."""
     for batch in batches:
         step = BATCH_ROWS

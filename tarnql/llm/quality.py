@@ -120,7 +120,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = common.SAMPLE_ROWS) ->
     sample = common.map_arrow(sample, _sampled, "doc_id long, label int, cols array<int>, vals array<float>").toArrow().sort_by("doc_id")
     cols, vals = (sample.column(c).combine_chunks() for c in ("cols", "vals"))
     samples = [(cols[i].values.to_numpy(), vals[i].values.to_numpy()) for i in range(len(sample))]
-    return fit(samples, sample.column("label").to_numpy().astype(np.float64))
+    model = fit(samples, sample.column("label").to_numpy().astype(np.float64))
+    del sample, cols, vals, samples
+    common.release()
+    return model
 
 
 def _scored(batches, model, name: str):

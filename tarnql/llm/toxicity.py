@@ -115,7 +115,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS):
     sample = common.labelled(docs, labels, "toxic", 5, 0, rows)
     sample = common.map_arrow(sample, _sampled, "doc_id long, label int, cols array<int>").toArrow().sort_by("doc_id")
     cols = sample.column("cols").combine_chunks()
-    return fit([cols[i].values.to_numpy() for i in range(len(sample))], sample.column("label").to_numpy().astype(np.float64))
+    model = fit([cols[i].values.to_numpy() for i in range(len(sample))], sample.column("label").to_numpy().astype(np.float64))
+    del sample, cols
+    common.release()
+    return model
 
 
 def _scored(batches, model):
