@@ -1,9 +1,12 @@
 """Near duplicates by SimHash: fingerprints, pigeonhole blocks, connected components.
 
-A fingerprint has 64 bits.  Split into five blocks, two fingerprints that differ in
-three bits or fewer agree on two whole blocks at least, so each is listed under its
-ten pairs of blocks (25 or 26 bits each) and only those that share a listing are
-compared.  Equal fingerprints are one node throughout, so copies are never paired.
+A fingerprint has 64 bits.  Split into m blocks, two fingerprints that differ in three
+bits or fewer agree on m - 3 whole blocks at least, so each is listed under all choices of
+m - 3 blocks and only those that share a listing are compared.  m is the least number,
+from five, with as many possible listings of a choice as there are fingerprints: ten
+listings of 25 bits or more up to 33 million of them, twenty of 32 bits up to four
+billion, and so on.  No link depends on m.  Equal fingerprints are one node throughout,
+so copies are never paired.
 
 A listing that holds more than ``HOT`` distinct fingerprints isn't paired at all.
 Its members go to the centres of small balls instead: within three bits, one of the
@@ -27,8 +30,7 @@ from . import common, text
 
 MAX_DISTANCE = 3
 SHINGLE = 3
-#: Bit ranges [from, to) of the five blocks.
-BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
+LEAST_BLOCKS, MOST_BLOCKS = 5, 9
 #: Distinct fingerprints under one listing that are compared pair by pair.
 HOT = 256
 SEED = 42
@@ -70,15 +72,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return common.map_arrow(docs.select("doc_id", "text"), _fingerprints, f"doc_id {kind}, fp long")
 
 
-def _listings(nodes: DataFrame) -> DataFrame:
-    def part(block):
-        low, high = block
-        return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+def blocks_for(n: int) -> int:
+    """The number of blocks for ``n`` distinct fingerprints."""
+    for m in range(LEAST_BLOCKS, MOST_BLOCKS):
+        if n <= 1 << 64 * (m - MAX_DISTANCE) // m:
+            return m
+    return MOST_BLOCKS
 
-    keys = [
-        F.struct(F.lit(k).alias("pair"), F.shiftleft(part(a), 13).bitwiseOR(part(b)).alias("bits"))
-        for k, (a, b) in enumerate(combinations(BLOCKS, 2))
-    ]
+
+def masks(m: int) -> list[int]:
+    """For each choice of m - 3 of m blocks, their bits."""
+    cuts = [64 * k // m for k in range(m + 1)]
+    block = [(1 << cuts[k + 1]) - (1 << cuts[k]) for k in range(m)]
+    return [sum(chosen) for chosen in combinations(block, m - MAX_DISTANCE)]
+
+
+def _long(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _listings(nodes: DataFrame, m: int) -> DataFrame:
+    keys = [F.struct(F.lit(k).alias("pair"), F.col("fp").bitwiseAND(F.lit(_long(mask)).cast("long")).alias("bits")) for k, mask in enumerate(masks(m))]
     return nodes.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.pair", "key.bits")
 
 
@@ -96,9 +110,8 @@ def _ball_links(nodes: DataFrame) -> DataFrame:
     """Links of all nodes within three bits of each other, without pairing them."""
 
     def ball(flips):
-        masks = [sum(1 << b for b in bits) for bits in flips]
-        masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
-        return nodes.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("centre"))
+        flipped = F.array(*[F.lit(_long(sum(1 << b for b in bits))).cast("long") for bits in flips])
+        return nodes.select("fp", F.explode(flipped).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("centre"))
 
     inner = ball([()] + [(b,) for b in range(64)])
     outer = ball(list(combinations(range(64), 2)))
@@ -112,9 +125,9 @@ def _ball_links(nodes: DataFrame) -> DataFrame:
     )
 
 
-def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
+def links(nodes: DataFrame, hot: int = HOT, m: int | None = None) -> DataFrame:
     """Links (a < b) between distinct fingerprints that connect all that lie within three bits."""
-    listed = _listings(nodes)
+    listed = _listings(nodes, m or blocks_for(nodes.count()))
     sizes = listed.groupBy("pair", "bits").count().where(F.col("count") > 1)
     shared = common.stored(listed.join(sizes, ["pair", "bits"]))
     found = _pair_links(shared.where(F.col("count") <= hot))
@@ -151,7 +164,7 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     gives an empty result; columns other than doc_id and text are ignored.
     """
     rows = common.stored(fingerprints(docs))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    classes = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(classes.select("fp"), hot))
     classes = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     labels = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))

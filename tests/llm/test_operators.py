@@ -349,12 +349,22 @@ def test_crowded_listings_lose_no_link(spark):
         fps.add(r.choice(sorted(fps)) ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 5))))
     nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
     signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
-    for hot in (simhash.HOT, 2):
-        found = {x.node: x.root for x in simhash.components(simhash.links(nodes, hot)).collect()}
+    for hot, m in ((simhash.HOT, 5), (2, 5), (simhash.HOT, 6), (simhash.HOT, 8)):
+        found = {x.node: x.root for x in simhash.components(simhash.links(nodes, hot, m)).collect()}
         wanted = brute_components([(s, s & ((1 << 64) - 1)) for s in signed])
         assert [found.get(s, s) for s in signed] == wanted
 
 
+def test_every_close_pair_shares_a_listing():
+    r = random.Random(6)
+    assert [simhash.blocks_for(n) for n in (0, 1 << 25, (1 << 25) + 1, 1 << 33, 10**14)] == [5, 5, 6, 7, 9]
+    for m in range(simhash.LEAST_BLOCKS, simhash.MOST_BLOCKS + 1):
+        assert len(simhash.masks(m)) == math.comb(m, 3)
+        for _ in range(200):
+            flips = sum(1 << b for b in r.sample(range(64), 3))
+            assert any(not flips & mask for mask in simhash.masks(m))
+
+
 def test_a_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "a long, b long")
     found = {x.node: x.root for x in simhash.components(edges).collect()}
