@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 8000
 #: Documents per Arrow batch; bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 _shipped: set[str] = set()
@@ -38,9 +39,18 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(name))
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES``: several of them are held at once, on either side."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` over slices of bounded size."""
     ship(df.sparkSession)
+    _small_batches(df.sparkSession)
     return df.mapInArrow(lambda batches: function(slices(batches)), schema)
 
 
@@ -121,10 +131,10 @@ def release() -> None:
 
 
 def slices(batches):
-    """Arrow batches cut so that no slice holds more than about 16 MB of text."""
+    """Arrow batches cut so that no slice holds more than about ``BATCH_BYTES``."""
     for batch in batches:
         step = BATCH_ROWS
-        while step > 1 and any(batch.slice(k, step).nbytes > 16 << 20 for k in range(0, batch.num_rows, step)):
+        while step > 1 and any(batch.slice(k, step).nbytes > BATCH_BYTES for k in range(0, batch.num_rows, step)):
             step //= 4
         for k in range(0, batch.num_rows, max(step, 1)):
             yield batch.slice(k, max(step, 1))
