@@ -6,7 +6,8 @@ and, for each pair of terms, the product of their factor vectors: an insult toge
 with the mention of a group weighs more than both alone.  All pairs of a text cost one
 pass over its terms, since the sum of products is half of (square of sums - sum of
 squares).  Weights and factors are learned with AdaGrad on a bounded sample of labelled
-rows; terms that are rare in it, or as frequent under either label, have none.
+rows; terms that are rare in it have none.  A term as frequent under either label has no
+weight of its own but keeps its factors: it may tell in a pair what it doesn't alone.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from .quality import sigmoid
 BITS = 18
 FACTORS = 4
 PREFIX = 4
-#: Texts of the sample that a term must occur in, and standard deviations by which its share among either label must differ.
+#: Texts of the sample that a term must occur in, and standard deviations by which its share among either label must differ for a weight of its own.
 LEAST, EVIDENCE = 5, 3.0
 RATE, L1, L2, EPOCHS, BATCH = 0.15, 1e-3, 1e-5, 12, 32
+#: Spread of the factors at the start, and their L1: a term in few texts loses them unless its pairs tell something.
+SPREAD, FACTOR_L1 = 0.07, 5e-3
 #: Labelled rows that the machine learns from, at most.
 ROWS = 16000
 
@@ -56,12 +59,13 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, bits: int = BITS):
     toxic = np.bincount(np.concatenate(samples), np.repeat(labels, [len(s) for s in samples]), 1 << bits)
     n1, n0 = max(labels.sum(), 0.5), max((1 - labels).sum(), 0.5)
     spread = np.sqrt((frequency + 1) / len(labels) * (1 / n1 + 1 / n0))
-    used = np.flatnonzero((frequency >= LEAST) & (np.abs(toxic / n1 - (frequency - toxic) / n0) >= EVIDENCE * spread))
+    used = np.flatnonzero(frequency >= LEAST)
+    apart = (np.abs(toxic / n1 - (frequency - toxic) / n0) >= EVIDENCE * spread)[used]
     number = np.full(1 << bits, -1, np.int64)
     number[used] = np.arange(len(used))
     samples = [c[c >= 0] for c in (number[s] for s in samples)]
     rng = np.random.default_rng(0)
-    w0, w, v = 0.0, np.zeros(len(used)), rng.normal(0, 0.01, (len(used), FACTORS))
+    w0, w, v = 0.0, np.zeros(len(used)), rng.normal(0, SPREAD, (len(used), FACTORS))
     g0, gw, gv = 1e-6, np.full(len(used), 1e-6), np.full((len(used), FACTORS), 1e-2)
     # either label weighs the same in all, within a factor of four
     share = min(max(labels.mean(), 0.2), 0.8)
@@ -83,13 +87,13 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, bits: int = BITS):
             gw[uniq] += dw * dw
             step = RATE / np.sqrt(gw[uniq])
             new = w[uniq] - step * dw
-            w[uniq] = np.sign(new) * np.maximum(np.abs(new) - step * L1, 0)
+            w[uniq] = np.where(apart[uniq], np.sign(new) * np.maximum(np.abs(new) - step * L1, 0), 0)
             pull = e[:, None] * (sums[rows] - v[cols])
             dv = np.stack([np.bincount(where, pull[:, f], len(uniq)) for f in range(FACTORS)], axis=1) + L2 * v[uniq]
             gv[uniq] += dv * dv
             step = 0.3 * RATE / np.sqrt(gv[uniq])
             new = v[uniq] - step * dv
-            v[uniq] = np.sign(new) * np.maximum(np.abs(new) - step * L1, 0)
+            v[uniq] = np.sign(new) * np.maximum(np.abs(new) - step * FACTOR_L1, 0)
     weights, factors = np.zeros(1 << bits, np.float32), np.zeros((1 << bits, FACTORS), np.float32)
     weights[used], factors[used] = w, v
     return w0, weights, factors

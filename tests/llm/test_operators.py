@@ -258,6 +258,17 @@ def test_factorization_machine_learns_pairs():
     assert toxicity.fit([], np.zeros(0)) is None
 
 
+def test_factorization_machine_learns_pairs_of_words_that_say_nothing_alone():
+    r = random.Random(0)
+    marks = ["mild folk", "slur", "mild", "folk"]  # mild and folk: in half the texts under either label, together only in toxic ones
+    texts = [" ".join([f"w{r.randint(0, 400)}" for _ in range(60)] + [marks[k % 4]]).encode() for k in range(1500)]
+    truth = np.array([float(k % 4 < 2) for k in range(1500)])
+    model = toxicity.fit([toxicity.terms([t])[1] for t in texts[:1200]], truth[:1200])
+    found = toxicity.predict(model, texts[1200:]) >= 0.5
+    assert [np.mean(found[k::4]) > 0.9 for k in range(4)] == [True, True, False, False]
+    assert np.mean(found == truth[1200:]) > 0.97
+
+
 def test_classifiers(spark, odd, nothing, labels):
     scored = toxicity.score(odd, labels).collect()
     assert len(scored) == odd.count() and all(0 <= r.score <= 1 and r.held_out == (fold(r.doc_id, 5) == 0) and r.predicted == (r.score >= 0.5) for r in scored)
