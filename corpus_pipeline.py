@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each deciding on all that the one before kept.
 
-``doc_id`` is a document's identity: rows that share it are kept or dropped together
-where a stage decides by document; the exact stage also tells such rows apart by text.
+Every stage decides by row: where rows share a ``doc_id``, or have none, the stages that
+drop duplicates tell them apart by text.
 """
 
 from __future__ import annotations
@@ -45,10 +45,13 @@ def exact_rows(rows: DataFrame, dropped: DataFrame, kept: DataFrame) -> DataFram
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """The document with the smallest id of each group of near duplicates; rows without an id come last, rows of one id by text."""
+    rows = docs.select(*COLUMNS, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("_sha"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_sha")
+    found = simhash.near_duplicates(rows.select(key.alias("doc_id"), "text"))
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id.doc_id", "doc_id._sha").distinct()
+    same = rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["_sha"] == gone["_sha"])
+    return rows.join(gone, same, "left_anti").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,11 @@ def test_near_stage_keeps_the_first_of_each_group(spark, docs):
     copies = docs.where("doc_id = 8").selectExpr("doc_id + 10000 AS doc_id", "text || ' end' AS text", "lang", "source", "n_chars")
     out = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs.unionByName(copies), TESTDATA).collect()}
     assert 8 in out and 10008 not in out
+
+
+def test_near_stage_tells_rows_without_an_id_or_of_one_id_apart(spark, docs):
+    a, b, c, d = (docs.where("doc_id = 8").first().text, *(" ".join(f"{w}{k}" for k in range(200)) for w in "bcd"))
+    rows = [(1, a), (None, a + " end"), (None, b), (None, b + " end"), (3, c), (7, c + " end"), (7, d)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    out = [(r.doc_id, r.text.removesuffix(" end")) for r in corpus_pipeline.near_stage(spark, made, TESTDATA).collect()]
+    assert sorted(out, key=str) == sorted([(1, a), (None, b), (3, c), (7, d)], key=str)
