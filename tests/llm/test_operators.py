@@ -290,6 +290,14 @@ def test_quality_by_held_out_rows(spark):
     assert np.mean([toxic[r.doc_id].predicted == r.toxic for r in truth]) > 0.85
 
 
+def test_toxic_and_clean_held_out_rows_each(spark):
+    big = "/root/testdata/sf0.1"
+    found = {r.doc_id: r.predicted for r in __spark_entry__.queries()["op6_toxicity"](spark, big).collect()}
+    truth = [r for r in spark.read.parquet(f"{big}/labels.parquet").collect() if fold(r.doc_id, 5) == 0]
+    toxic, clean = ([found[r.doc_id] for r in truth if r.toxic == t] for t in (1, 0))
+    assert len(toxic) > 90 and np.mean(toxic) > 0.8 and np.mean(clean) < 0.02
+
+
 # -- 7
 
 
