@@ -17,8 +17,8 @@ from . import common, text
 BITS = 18
 THRESHOLD = 0.7
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.5
-#: Passes over the sample: enough for ``STEPS`` rows in all, within these bounds.
-EPOCHS, STEPS, BATCH = (4, 20), 20_000, 32
+#: Passes over the sample, whatever its size, and rows a step.
+EPOCHS, BATCH = 20, 32
 
 _PAIR, _SHAPE, _REPEAT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _upper = np.zeros(256, np.int64)
@@ -76,7 +76,7 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits:
     def weights(z, n):
         return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    for epoch in range(min(max(-(-STEPS // len(labels)), EPOCHS[0]), EPOCHS[1])):
+    for epoch in range(EPOCHS):
         order = np.random.default_rng(epoch).permutation(len(labels))
         for k in range(0, len(order), BATCH):
             batch = order[k : k + BATCH]

@@ -290,6 +290,14 @@ def test_quality_by_held_out_rows(spark):
     assert np.mean([toxic[r.doc_id].predicted == r.toxic for r in truth]) > 0.85
 
 
+def test_quality_makes_as_many_passes_over_any_sample(monkeypatch):
+    made, real = [], np.random.default_rng
+    monkeypatch.setattr(np.random, "default_rng", lambda seed: made.append(seed) or real(seed))
+    for n in (10, 6000):
+        quality.fit([(np.array([k % 7]), np.ones(1, np.float32)) for k in range(n)], np.arange(n) % 7 / 6.0)
+    assert len(made) == 2 * quality.EPOCHS and made[: quality.EPOCHS] == made[quality.EPOCHS :]
+
+
 def test_toxic_and_clean_held_out_rows_each(spark):
     big = "/root/testdata/sf0.1"
     found = {r.doc_id: r.predicted for r in __spark_entry__.queries()["op6_toxicity"](spark, big).collect()}
