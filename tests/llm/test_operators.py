@@ -466,3 +466,11 @@ def test_training_lowers_the_loss():
     assert gru.log_likelihoods(after, cycle, lengths).sum() > 0.8 * before and rng is not None
     a, b = gru.unpacked(gru.packed(after, gru.still(after)))
     assert all((a[k] == after[k]).all() for k in gru.NAMES) and (b["U"] == gru.still(after)["U"]).all()
+
+
+def test_training_reaches_32_tokens_back(monkeypatch):
+    windows, real = [], gru._gradients
+    monkeypatch.setattr(gru, "_gradients", lambda m, x, y, h: windows.append(x.shape) or real(m, x, y, h))
+    m = gru.fresh(np.full(50, 2000.0), np.full(gru.TAIL, 0.5))
+    gru.train(m, gru.still(m), np.arange(9600, dtype=np.int32) % 50, np.full(100, 96))
+    assert windows[0] == (32, 64)
