@@ -55,9 +55,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents a twentieth of whose words, or more, aren't passages of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    A document goes if it holds a whole window of ``decontam.WINDOW`` words, however long it is
+    itself, or is contaminated: a twentieth of its words are hit.  Shorter items alone, which
+    clean texts may hold by chance, don't make a long document go.
+    """
     found = decontam.annotate(docs.select(*COLUMNS), common.table(spark, sf_dir, "benchmark"), prefix="_")
-    return found.where(~F.col("_contaminated")).select(*COLUMNS)
+    return found.where(~F.col("_contaminated") & (F.col("_n_longest") < decontam.WINDOW)).select(*COLUMNS)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,11 +78,11 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there."""
+def stored(df: DataFrame, block_bytes: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there; for large rows, in row groups of ``block_bytes``."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", block_bytes) if block_bytes else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

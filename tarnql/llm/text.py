@@ -125,9 +125,43 @@ def tokens(texts: list[bytes], classes: np.ndarray = WORDS, prefix: int = 0, suf
     return (join(hashes), counts, join(heads)) if prefix or suffix else (join(hashes), counts)
 
 
-def word_hash(word: bytes) -> int:
-    h, _ = tokens([word])
-    return int(h[0])
+def words(texts: list[bytes], classes: np.ndarray = WORDS):
+    """The distinct tokens (an Arrow array of bytes), each token's number among them, and tokens per text.
+
+    Tokens are told apart by their bytes, not by a hash.
+    """
+    import pyarrow as pa
+
+    counts = np.zeros(len(texts), np.int64)
+    gaps = bytes(np.flatnonzero(classes == 0).astype(np.uint8))
+    found = []
+    for who, parts in blocks(texts, classes):
+        raw = b"\n".join(parts)
+        if not raw:
+            continue
+        starts, ends = spans(np.frombuffer(raw, np.uint8), classes)
+        np.add.at(counts, who, np.diff(np.searchsorted(starts, np.cumsum([0] + [len(p) + 1 for p in parts]))))
+        found.append(unpacked(raw.translate(None, gaps), ends - starts))
+    coded = pa.chunked_array(found, pa.large_binary()).combine_chunks().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), counts
+
+
+def packed(words) -> tuple[bytes, np.ndarray]:
+    """The bytes of an Arrow array of words, one after the other, and their lengths."""
+    if not len(words):
+        return b"", np.zeros(0, np.int64)
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    return data[int(offsets[0]) : int(offsets[-1])].to_pybytes() if data else b"", np.diff(offsets)
+
+
+def unpacked(whole: bytes, lengths: np.ndarray):
+    """The Arrow array of words of these lengths."""
+    import pyarrow as pa
+
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(whole)])
 
 
 def utf8(column) -> list[bytes]:

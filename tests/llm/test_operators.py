@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -210,33 +211,111 @@ def test_patricia_trie():
 # -- 5
 
 
+def brute_matches(items, whole, width, slop):
+    """n_words, hit words, items with windows, items near by."""
+    ws = decontam.words(whole)
+    hit, found, near = set(), set(), set()
+    for item_id, t in items:
+        iw = decontam.words(t)
+        n = min(width, len(iw))
+        for k in range(len(iw) - n + 1 if n else 0):
+            window = iw[k : k + n]
+            for at in range(len(ws) - n + 1):
+                if ws[at : at + n] == window:
+                    hit |= {*range(at, at + n)}
+                    found.add(item_id)
+            longest = min(window, key=lambda w: (-len(w), w))
+            if any(w == longest and {*window} <= {*ws[max(0, at - slop) : at + slop + 1]} for at, w in enumerate(ws)):
+                near.add(item_id)
+    return len(ws), hit, found, near
+
+
+def brute_result(items, whole, width=decontam.WINDOW, slop=decontam.SLOP):
+    n, hit, found, near = brute_matches(items, whole, width, slop)
+    longest = max((len(list(g)) for _, g in itertools.groupby(enumerate(sorted(hit)), lambda x: x[1] - x[0])), default=0)
+    names = sorted(str(i) for i in found if i is not None)
+    return n, len(hit), len(found), hashlib.sha256(",".join(names).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= n, len(near), longest
+
+
 def test_decontamination_in_blocks(spark, odd, nothing):
     benchmark = spark.read.parquet(f"{TESTDATA}/benchmark.parquet").select("item_id", "text")
-    extra = spark.createDataFrame([(900, "the dog saw"), (901, "MAT"), (902, ""), (903, None), (904, "dog cat"), (0, "the dog saw")], benchmark.schema)
+    extra = spark.createDataFrame([(900, "the dog saw"), (901, "MAT"), (902, ""), (903, None), (904, "dog cat"), (0, "the dog saw"), (None, "the dog saw it")], benchmark.schema)
     items = benchmark.unionByName(extra)
     many = docs(spark).select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     key = lambda rows: sorted(map(tuple, rows), key=str)
     one = key(decontam.contamination(many, items).collect())
-    assert one == key(decontam.contamination(many, items, block_bytes=2000).collect())
+    assert one == key(decontam.contamination(many, items, block_windows=150).collect())
     cat = next(r for r in one if r[0] == 1)
-    assert cat[1:4] == (11, 4, 3) and cat[5] and cat[6] == 4  # "the dog saw" of two items, "mat"; "dog cat" near by
+    assert cat[1:4] == (11, 5, 4) and cat[5] and cat[6] == 5 and cat[7] == 4  # "the dog saw it", "the dog saw" of two items, "mat"; "dog cat" near by
+    rows = [tuple(r) for r in items.collect()]
+    wanted = [(d, *brute_result(rows, t)) for d, t in odd.select("doc_id", "text").collect()]
+    assert key(decontam.contamination(odd, items).collect()) == key(wanted)
     assert decontam.contamination(nothing, items).count() == 0
     none = decontam.contamination(odd, items.limit(0)).collect()
     assert len(none) == odd.count() and not any(r.n_hit or r.contaminated for r in none)
 
 
-def test_candidates_in_parts(monkeypatch):
-    items = [(k, " ".join(random.Random(k).choices("abc", k=30))) for k in range(20)]
-    whole = [" ".join(random.Random(100 + k).choices("abc", k=400)) for k in range(5)] + [items[3][1]]
-    phrases = decontam.Phrases(items, 6)
-    first = decontam.search(phrases, whole)
-    monkeypatch.setattr(decontam, "CANDIDATES", 50)
-    second = decontam.search(phrases, whole)
-    assert first[0] == second[0] and {d: sorted(h) for d, h in first[1].items()} == {d: sorted(h) for d, h in second[1].items()} and first[2] == second[2]
-    for d, t in enumerate(whole):
+def test_decontamination_keeps_columns_of_any_name(spark, odd, tmp_path):
+    items = spark.createDataFrame([("a", "the dog saw it"), ("b", "no id here")], "item_id string, text string")
+    clashing = odd.withColumnRenamed("score", "segment").withColumnRenamed("fp", "row").withColumnRenamed("lang", "terms")
+    found = decontam.annotate(clashing, items, prefix="_")
+    assert found.columns == [*clashing.columns, *("_" + n for n, _ in decontam.RESULT)]
+    key = lambda rows: sorted(map(tuple, rows), key=str)
+    assert key(found.select(*clashing.columns).collect()) == key(clashing.collect())
+    assert key(found.collect()) == key(decontam.annotate(clashing, items, prefix="_", block_windows=1).collect())
+    with pytest.raises(ValueError, match="n_hit"):
+        decontam.annotate(odd.withColumnRenamed("fp", "n_hit"), items)
+
+
+def test_matches_are_those_of_brute_force(spark, monkeypatch):
+    items = [(k, " ".join(random.Random(k).choices("abc", k=9))) for k in range(12)] + [(50, "b a"), (51, "zz yy")]
+    whole = [(k, " ".join(random.Random(100 + k).choices("abcd", k=300))) for k in range(5)] + [(5, items[3][1]), (6, ""), (7, None), (8, "yy d d d zz")]
+    index = decontam.index(spark.createDataFrame(whole, "doc_id long, text string").repartition(2))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    wanted = []
+    for d, t in whole:
         ws = decontam.words(t)
-        wanted = sorted((k, n) for n, p in enumerate(phrases.phrases) for k in range(len(ws)) if tuple(ws[k : k + len(p)]) == p)
-        assert sorted(first[1].get(d, [])) == wanted
+        for i, u in items:
+            iw = decontam.words(u)
+            n = min(6, len(iw))
+            for window in {tuple(iw[k : k + n]) for k in range(len(iw) - n + 1)}:
+                wanted += [(d, i, "exact", at, n) for at in range(len(ws) - n + 1) if tuple(ws[at : at + n]) == window]
+                longest = min(window, key=lambda w: (-len(w), w))
+                wanted += [(d, i, "near", at, n) for at, w in enumerate(ws) if w == longest and {*window} <= {*ws[max(0, at - 3) : at + 4]}]
+    for candidates, limit in ((decontam.CANDIDATES, None), (50, None), (decontam.CANDIDATES, 7)):
+        monkeypatch.setattr(decontam, "CANDIDATES", candidates)
+        assert sorted(map(tuple, decontam.matches(index, benchmark, 6, 3, limit).collect())) == sorted(wanted)
+    assert {(r.doc_id, r.n_hit, r.n_near_items) for r in decontam.annotate_index(index, benchmark, 6, 3).collect()} == {(d, *(len(x) for x in brute_matches(items, t, 6, 3)[1::2])) for d, t in whole}
+
+
+#: Two words of 1,024 bytes whose polynomial hashes modulo 2**64 are equal.
+THUE = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+MORSE = THUE.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_are_told_apart_by_their_bytes(spark):
+    assert text.tokens([THUE.encode()])[0][0] == text.tokens([MORSE.encode()])[0][0]
+    terms, numbers, counts = text.words([f"{THUE} {MORSE} {THUE}".encode(), b"", MORSE.encode()])
+    assert terms.to_pylist() == [THUE.encode(), MORSE.encode()] and numbers.tolist() == [0, 1, 0, 1] and counts.tolist() == [3, 0, 1]
+    df = spark.createDataFrame([(1, f"x {THUE} y"), (2, f"x {MORSE} y")], "doc_id long, text string")
+    found = decontam.contamination(df, spark.createDataFrame([(7, f"x {THUE} y"), (8, f"y {MORSE} y")], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_hit, r.n_items) for r in found) == [(1, 3, 1), (2, 0, 0)]
+
+
+def test_blocks_hold_so_many_windows():
+    items = [(k, " ".join(f"w{k}x{n}" for n in range(40))) for k in range(30)]
+    made = list(decontam.blocks(items, limit=50))
+    assert max(len(p.lengths) for p in made) == 50 and sum(len(p.lengths) for p in made) == 30 * 28
+    assert len({w for p in made for w in p.vocabulary.to_pylist()}) == 30 * 40
+
+
+def test_the_largest_block_is_small():
+    import pickle
+
+    r = random.Random(0)
+    items = ((k, " ".join(f"w{r.randint(0, 50_000)}" for _ in range(2_000))) for k in range(60))
+    first = next(decontam.blocks(items))
+    assert len(first.lengths) == decontam.BLOCK_WINDOWS and len(pickle.dumps(first)) < 20 << 20
 
 
 # -- 6 and 9

@@ -51,6 +51,22 @@ def test_decontamination_and_quality_decisions_take_effect(spark, docs):
     assert sorted(r.doc_id for r in good.collect()) == sorted(r.doc_id for r in scored.collect())
 
 
+def test_decontamination_drops_every_document_with_a_passage(spark):
+    big = "/root/testdata/sf0.01"
+    docs, benchmark = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "benchmark"))
+    windows = {tuple(ws[k : k + 13]) for r in benchmark.collect() for ws in [decontam.words(r.text)] for k in range(len(ws) - 12)}
+    holds = {r.doc_id: any(tuple(ws[k : k + 13]) in windows for k in range(len(ws) - 12)) for r in docs.collect() for ws in [decontam.words(r.text)]}
+    kept = {r.doc_id for r in corpus_pipeline.decontamination_stage(spark, docs, big).collect()}
+    assert sum(holds.values()) > 20 and kept == {d for d, held in holds.items() if not held}
+
+
+def test_decontamination_leaves_short_items_in_long_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "the cat")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    made = spark.createDataFrame([(1, "the cat " + "word " * 100), (2, "the cat sat"), (3, None), (3, "")], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    out = corpus_pipeline.decontamination_stage(spark, made, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text and len(r.text)) for r in out if r.doc_id != 3) == [(1, 508)] and len(out) == 3
+
+
 def test_near_stage_keeps_the_first_of_each_group(spark, docs):
     copies = docs.where("doc_id = 8").selectExpr("doc_id + 10000 AS doc_id", "text || ' end' AS text", "lang", "source", "n_chars")
     out = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs.unionByName(copies), TESTDATA).collect()}
