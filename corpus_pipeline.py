@@ -21,27 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that are equal but for white space."""
-    found = common.stored(exact.exact_duplicates(docs))
-    # rows that aren't alone and don't stay; a document alone in its group needs no look
-    dropped = found.where(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("_sha"))
-    kept = found.where("kept AND group_size > 1").select("doc_id", F.col("text_sha256").alias("_sha"))
-    rows = docs.select(*COLUMNS, F.sha2(F.translate(F.coalesce("text", F.lit("")), exact.WHITE, ""), 256).alias("_sha"))
-    return exact_rows(rows, dropped, kept).select(*COLUMNS)
-
-
-def exact_rows(rows: DataFrame, dropped: DataFrame, kept: DataFrame) -> DataFrame:
-    """``rows`` without those dropped; where an id has kept and dropped rows of one text, its longest row stays."""
-    both = dropped.intersect(kept)
-    gone = dropped.distinct().exceptAll(both.distinct())
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_sha"] == b["_sha"])
-    rest = rows.join(gone, same(rows, gone), "left_anti")
-    if both.isEmpty():
-        return rest
-    repeated = rest.join(both, same(rest, both), "left_semi")
-    order = F.struct(F.length(F.coalesce("text", F.lit(""))).alias("n"), *[F.col(c) for c in COLUMNS if c != "doc_id"])
-    best = repeated.groupBy("doc_id", "_sha").agg(F.max(order).alias("r")).select("doc_id", *[F.col(f"r.{c}").alias(c) for c in COLUMNS if c != "doc_id"], "_sha")
-    return rest.join(both, same(rest, both), "left_anti").unionByName(best)
+    """One row of each group of texts that are equal but for white space: the longest, then the one with the smallest id."""
+    return exact.distinct_documents(docs.select(*COLUMNS))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

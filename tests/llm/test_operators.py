@@ -10,7 +10,9 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 import __spark_entry__
 from tarnql.llm import bpe, chat, decontam, exact, gru, langid, lm, pii, quality, simhash, text, toxicity
@@ -208,6 +210,52 @@ def test_patricia_trie():
     assert all(trie.terminal(k).value == k for k in keys)
 
 
+def test_subtrees_are_spilled_whole():
+    r = random.Random(2)
+    keys = sorted({bytes(r.choice(b"abc") for _ in range(r.randint(0, 12))) for _ in range(800)}, key=lambda k: r.random())
+    trie = exact.PatriciaTrie()
+    for k in keys:
+        trie.terminal(k).value = k
+    before = trie.weights(len)[id(trie.root)]
+    items, left = trie.spill(before // 2, len, keep_mark=True)
+    rest = dict(trie.items())
+    assert 0 < len(items) < len(keys) and {*rest} | {k for k, _ in items} == {*keys} and len(rest) + len(items) == len(keys) and keys[0] in rest
+    assert left <= before // 2
+    assert all((trie.terminal(k) is None) == (k not in rest) for k in keys)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_many_texts_share_a_trie(spark, monkeypatch, kind):
+    """All texts in partitions of one hash, some equal but for white space; results don't depend on the budget."""
+    r = random.Random(3)
+    words = ["".join(r.choice("ab") for _ in range(r.randint(0, 9))) for _ in range(120)]
+    rows = [(k, " ".join(r.choice(words)) + " " * r.randint(0, 3)) for k in range(400)] + [(400 + k, "long text " * 500 + "ab"[k % 2]) for k in range(6)]
+    if kind == "string":
+        rows = [(str(d) if d else "", t) for d, t in rows] + [(None, rows[0][1])]
+    groups = collections.defaultdict(list)
+    for d, t in rows:
+        groups[t.replace(" ", "")].append((-len(t), d is None, d, t))
+    wanted = [(d, min(g)[2], len(g), (n, i, d, t) == min(g), hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for n, i, d, t in g]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(5)
+    monkeypatch.setattr(exact, "MEMBERS", 3)
+    for budget in (exact.TRIE_BYTES, 20_000):
+        assert sorted(map(tuple, exact.exact_duplicates(df, budget).collect()), key=str) == sorted(wanted, key=str)
+        assert sorted(map(tuple, exact.distinct_documents(df.withColumn("more", df.doc_id), budget).collect()), key=str) == sorted(((m[2], m[3], m[2]) for m in map(min, groups.values())), key=str)
+
+
+def test_texts_of_one_length_and_hash_are_told_apart(spark, monkeypatch):
+    class Same:
+        def hexdigest(self):
+            return "0" * 64
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["ab", "ba", "a b"]})
+    monkeypatch.setattr(exact.hashlib, "sha256", lambda _: Same())
+    schema = exact._node_schema(T.LongType(), None)
+    nodes = list(exact._owners([batch], 1 << 20, schema, []))
+    merged = [r for b in exact._merged(nodes, 1 << 20, schema, []) for r in b.to_pylist()]
+    assert sorted((r["best"], r["n"], r["final"]) for r in merged) == [(2, 1, True), (3, 2, True)]
+
+
 # -- 5
 
 
