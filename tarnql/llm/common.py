@@ -79,10 +79,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def stored(df: DataFrame, block_bytes: int | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there; for large rows, in row groups of ``block_bytes``."""
+    """``df`` written to the shared folder and read back: its lineage ends there.
+
+    Rows of several MB are written in row groups of ``block_bytes``, as neither side can hold many of them.
+    """
     spark = df.sparkSession
     path = scratch(spark)
-    (df.write.option("parquet.block.size", block_bytes) if block_bytes else df.write).parquet(path)
+    large = {"parquet.block.size": block_bytes, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": "false"}
+    df.write.options(**large if block_bytes else {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

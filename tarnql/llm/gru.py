@@ -21,9 +21,11 @@ HIDDEN, HEAD, WIDTH, TAIL = 16, 1024, 32, 32
 HEAD_CLASSES = HEAD // WIDTH
 CLASSES = HEAD_CLASSES + TAIL
 START = HEAD + TAIL
-TRAIN_LANES, TRAIN_WINDOW = 64, 32
+START_LANES, TRAIN_LANES, TRAIN_WINDOW = 16, 64, 32
 SCORE_LANES, SCORE_WINDOW = 256, 64
 RATE = 0.1
+#: Tokens of a text that train as one sequence; scores are of whole texts.
+PIECE = 2048
 NAMES = ("E", "U", "V", "Wc", "bc", "Ww", "bw")
 
 
@@ -41,13 +43,13 @@ def fresh(head_counts: np.ndarray, tail_masses: np.ndarray) -> dict[str, np.ndar
     }
 
 
-def lanes(ids: np.ndarray, lengths: np.ndarray, width: int):
-    """Texts laid out in lanes: inputs and targets (steps x lanes, longest lane first; target -1 where a lane has ended), the text of each place, and starts."""
+def lanes(ids: np.ndarray, lengths: np.ndarray, width: int, longest_first: bool = True):
+    """Texts laid out in lanes, each after the other in the lane that has the least: inputs and targets (steps x lanes, longest lane first; target -1 where a lane has ended), the text of each place, and starts."""
     width = max(1, min(width, len(lengths)))
     offsets = np.cumsum(lengths) - lengths
     heap = [(0, k) for k in range(width)]
     members: list[list[int]] = [[] for _ in range(width)]
-    for d in np.argsort(-lengths, kind="stable").tolist():
+    for d in np.argsort(-lengths, kind="stable").tolist() if longest_first else range(len(lengths)):
         load, k = heapq.heappop(heap)
         members[k].append(d)
         heapq.heappush(heap, (load + int(lengths[d]), k))
@@ -141,13 +143,13 @@ def log_likelihoods(m, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _gradients(m, x, y, h):
-    """Of the mean loss of a window; also the state at its end and the summed loss."""
+def _gradients(m, x, y, h, full: int | None = None):
+    """Of a window's loss by ``full`` tokens (as many as it has, if not given); also the state at its end and the summed loss."""
     H = HIDDEN
     states, last, kept, goes_on = _forward(m, x, h)
     live = y >= 0
     s, t = states[live], y[live]
-    n = np.float32(len(t))
+    n = np.float32(full or len(t))
     cls = _classes(t)
     logp, p = _softmax(s @ m["Wc"] + m["bc"], cls)
     loss = -logp.sum()
@@ -192,15 +194,29 @@ def still(m) -> dict[str, np.ndarray]:
     return {k: np.full(v.shape, 1e-3, np.float32) for k, v in m.items()}
 
 
-def train(m, sums, ids: np.ndarray, lengths: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], float]:
-    """The model and its sums after one more pass over some texts, and the mean loss on the way."""
+def pieces(lengths: np.ndarray, size: int) -> np.ndarray:
+    """Lengths of texts of which the longer ones are cut into pieces of ``size``."""
+    n = -(-lengths // size)
+    out = np.full(int(n.sum()), size, np.int64)
+    out[np.cumsum(n) - 1] = lengths - (n - 1) * size
+    return out
+
+
+def train(m, sums, ids: np.ndarray, lengths: np.ndarray, width: int = 0) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], float]:
+    """The model and its sums after one more pass over some texts in their order, and the mean loss on the way.
+
+    A text longer than ``PIECE`` trains in pieces, so that no lane is much longer than the
+    others.  A window with few texts left moves the model little: its loss is divided by
+    the tokens of a full one.
+    """
     m, sums = ({k: v.copy() for k, v in x.items()} for x in (m, sums))
-    given, target, _ = lanes(ids, lengths, TRAIN_LANES)
+    width = width or TRAIN_LANES
+    given, target, _ = lanes(ids, pieces(lengths, PIECE), width, longest_first=False)
     h = np.zeros((given.shape[1], HIDDEN), np.float32)
     total = 0.0
     for k in range(0, len(given), TRAIN_WINDOW):
         n = int((target[k] >= 0).sum())
-        g, (rows, dE), h, loss = _gradients(m, given[k : k + TRAIN_WINDOW, :n], target[k : k + TRAIN_WINDOW, :n], h[:n])
+        g, (rows, dE), h, loss = _gradients(m, given[k : k + TRAIN_WINDOW, :n], target[k : k + TRAIN_WINDOW, :n], h[:n], width * TRAIN_WINDOW)
         total += loss
         for name, d in g.items():
             sums[name] += d * d

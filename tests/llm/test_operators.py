@@ -530,7 +530,8 @@ def test_a_long_chain_is_one_component(spark):
 
 
 def test_language_model(spark, odd, nothing):
-    for df, size in ((docs(spark).select("doc_id", "text"), 30_000), (odd, lm.CHUNK_TOKENS)):
+    crafted = spark.createDataFrame([(k, f"{THUE} {MORSE} a") for k in range(3)] + [(3, THUE), (3, THUE)], "doc_id long, text string")
+    for df, size in ((docs(spark).select("doc_id", "text"), 100_000), (odd, lm.CHUNK_BYTES), (crafted, 1)):
         rows = df.select("doc_id", "text").collect()
         cut = lambda t: [*WORD.findall(lower(t)), None]
         counts = collections.Counter(w for d, t in rows if d is not None and fold(d, 5) != 1 for w in cut(t))
@@ -547,6 +548,39 @@ def test_language_model(spark, odd, nothing):
     assert lm.score(nothing).count() == 0
 
 
+def test_scores_depend_on_the_corpus_and_not_on_partitions(spark):
+    """Also better than the counts alone on rows that weren't learned from, at either size."""
+    for sf, cuts in (("sf0.001", (1, 3, 8)), ("sf0.01", (3,))):
+        found = []
+        for n in cuts:
+            df = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").repartition(n)
+            found.append({r.doc_id: r for r in lm.score(df, 400_000 * n).collect()})
+        assert all(math.isclose(x[d].score, found[0][d].score, rel_tol=1e-6) for x in found for d in x)
+        held = [r for r in found[0].values() if r.held_out]
+        n = sum(r.n_tokens for r in held)
+        assert sum(r.score for r in held) / n > sum(r.base_score for r in held) / n + 0.05
+        assert np.mean([r.score > r.base_score for r in held]) > 0.8
+
+
+def test_shares_by_key(monkeypatch):
+    """Every training text is in one share; the order within is that of keys."""
+    r = random.Random(0)
+    texts = [" ".join(r.choices("abcdefg", k=r.randint(0, 9))) for _ in range(200)]
+    keys, own = np.array([r.getrandbits(64) - (1 << 63) for _ in texts], np.int64), np.array([k % 5 > 0 for k in range(200)])
+    chunk = lm._chunk(0, 0, list(range(200)), own, keys, [t.encode() for t in texts], pa.int64())
+
+    class Sent:
+        value = type("C", (), {"ids": staticmethod(lambda words, tails: np.arange(len(words), dtype=np.int32))})
+
+    words = lm._words(chunk.to_pylist()[0]).to_pylist()
+    rows = [x for b in lm._sequences([chunk], Sent, 7, False) for x in b.to_pylist()]
+    assert {(x["key"], x["share"]) for x in rows} == {(int(k), (int(k) & 0xFFFFFFFF) % 7) for k in keys[own]}
+    said = {x["key"]: b" ".join(words[i] for i in np.frombuffer(x["ids"], "<u2")) for x in rows}
+    assert all(said[int(k)] == (t.encode() + b" \n" if t else b"\n") for k, t, o in zip(keys, texts, own) if o)
+    first = {x["key"] for b in lm._sequences([chunk], Sent, 7, True) for x in b.to_pylist()}
+    assert first == {int(k) for k in keys[own] if ((int(k) >> 32) & 0xFFFFFFFF) % 7 == 0}
+
+
 def small_model(seed=0):
     rng = np.random.default_rng(seed)
     m = {k: v.astype(np.float64) for k, v in gru.fresh(rng.integers(1, 50, gru.HEAD), rng.integers(1, 50, gru.TAIL)).items()}
@@ -597,7 +631,14 @@ def test_training_lowers_the_loss():
 
 def test_training_reaches_32_tokens_back(monkeypatch):
     windows, real = [], gru._gradients
-    monkeypatch.setattr(gru, "_gradients", lambda m, x, y, h: windows.append(x.shape) or real(m, x, y, h))
+    monkeypatch.setattr(gru, "_gradients", lambda m, x, y, *rest: windows.append(x.shape) or real(m, x, y, *rest))
     m = gru.fresh(np.full(50, 2000.0), np.full(gru.TAIL, 0.5))
     gru.train(m, gru.still(m), np.arange(9600, dtype=np.int32) % 50, np.full(100, 96))
     assert windows[0] == (32, 64)
+
+
+def test_a_long_text_trains_in_pieces():
+    assert gru.pieces(np.array([1, 5, 6, 10]), 5).tolist() == [1, 5, 5, 1, 5, 5]
+    ids = np.arange(3 * gru.PIECE + 10, dtype=np.int32) % 50
+    given, target, _ = gru.lanes(ids, gru.pieces(np.array([len(ids)]), gru.PIECE), 4, longest_first=False)
+    assert given.shape == (gru.PIECE, 4) and (target >= 0).sum() == len(ids)
