@@ -6,9 +6,11 @@ rows and can be summed in blocks.  A conversation whose last hash occurs within
 one is a snapshot; two anti-joins remove snapshots and all but the first of equal
 conversations before anything is rendered.
 
-No conversation is gathered in one place.  Hashes are summed in blocks of ``BLOCK`` turn
-numbers first, and the blocks' sums are added up; rendering gives one row for every
-``PART`` turns.  Groups of equal prefixes are counted before they meet.
+No conversation is gathered in one place, nor all rows of one turn number.  Hashes are
+summed by turn number, then in blocks of ``BLOCK`` of these, and the blocks' sums are added
+up.  Rows meet their conversation's facts by ``CELLS`` cells of each block, so that a
+conversation with a third of all rows is spread over many tasks.  For rendering, the rows
+that stay are sorted over all tasks; a row's exact place gives its part of ``PART`` rows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql.window import Window
 from . import common
 
 BLOCK = PART = 256
+#: Cells of the rows of one block of a conversation, at most.
+CELLS = 4096
 LANES = ("a", "b", "c", "d")
 
 
@@ -34,16 +38,18 @@ def _lanes() -> list[Column]:
 
 
 def _prefixes(turns: DataFrame) -> DataFrame:
-    """(conv, turn, n, a, b, c, d): for each turn, how many turns there are up to it and their sums."""
+    """(conv, turn, n, a, b, c, d, all): for each turn number, how many turns there are up to it and their sums; and how many in all."""
     each = turns.groupBy("conv", "block", "turn").agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in LANES])
     sums = ("n", *LANES)
     blocks = each.groupBy("conv", "block").agg(*[F.sum(x).alias(x) for x in sums])
-    before = Window.partitionBy("conv").orderBy(F.asc_nulls_first("block")).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("conv", "block", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}0") for x in sums])
+    # a row for every BLOCK turn numbers
+    own = Window.partitionBy("conv")
+    before = own.orderBy(F.asc_nulls_first("block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("conv", "block", F.sum("n").over(own).alias("all"), *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}0") for x in sums])
     upto = Window.partitionBy("conv", "block").orderBy(F.asc_nulls_first("turn")).rowsBetween(Window.unboundedPreceding, 0)
     inner = each.select("conv", "block", "turn", *[F.sum(x).over(upto).alias(x) for x in sums])
     # conv is a struct and block never null: an equality join keeps every row
-    return inner.join(blocks, ["conv", "block"]).select("conv", "turn", *[(F.col(x) + F.col(f"{x}0")).alias(x) for x in sums])
+    return inner.join(blocks, ["conv", "block"]).select("conv", "turn", "all", *[(F.col(x) + F.col(f"{x}0")).alias(x) for x in sums])
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
@@ -51,52 +57,70 @@ def maximal(conversations: DataFrame) -> DataFrame:
     return _maximal(_turns(conversations)).select(F.col("conv.id").alias("conv_id"), F.col("n").alias("n_turns"), "n_copies")
 
 
+def _place() -> list[Column]:
+    """Of a row: its conversation (a null id is an id of its own), block of turn numbers and cell."""
+    conv = F.struct(F.col("conv_id").isNull().alias("none"), F.col("conv_id").alias("id")).alias("conv")
+    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).cast("long").alias("block")
+    return [conv, block, F.pmod(F.xxhash64(F.lit(23), "turn", "role", "text"), F.lit(CELLS)).cast("int").alias("cell")]
+
+
 def _turns(conversations: DataFrame) -> DataFrame:
-    """Distinct turns with hashes instead of texts; a null id is an id of its own."""
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).cast("long")
-    return (
-        conversations.select(F.struct(F.col("conv_id").isNull().alias("none"), F.col("conv_id").alias("id")).alias("conv"), "turn", block.alias("block"), *_lanes())
-        .distinct()
-    )
+    """Distinct turns with hashes instead of texts."""
+    return conversations.select(*_place(), "turn", *_lanes()).distinct()
 
 
 def _maximal(turns: DataFrame) -> DataFrame:
     prefixes = common.stored(_prefixes(turns))
-    last = prefixes.groupBy("conv").agg(F.max("n").alias("n"), F.max_by(F.struct(*LANES), "n").alias("sums"))
-    last = last.select("conv", "n", *[F.col(f"sums.{x}").alias(x) for x in LANES])
     key = ["n", *LANES]
     # equal conversations: the first id stands for all
-    whole = last.groupBy(*key).agg(F.min("conv").alias("conv"), F.count("*").alias("n_copies"))
+    whole = prefixes.where("n = all").groupBy(*key).agg(F.min("conv").alias("conv"), F.count("*").alias("n_copies"))
     # every prefix shorter than its conversation, once
-    longer = prefixes.join(last.select("conv", F.col("n").alias("all")), "conv").where("n < all").select(*key).distinct()
+    longer = prefixes.where("n < all").select(*key).distinct()
     return whole.join(longer, key, "left_anti")
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``at``, each one's place among all in order of conversation, turn, role and text."""
+    order = [F.asc_nulls_first(c) for c in ("conv", "turn", "role", "text")]
+    number = F.monotonically_increasing_id()  # the partition, and the place in it
+    rows = common.stored(rows.orderBy(*order).withColumn("number", number))
+    partition, place = F.shiftright("number", 33), F.col("number").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(partition.alias("partition")).count()
+    before = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("partition", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    # two numbers for each partition of the sort: small whatever the table's size
+    rows = rows.withColumn("partition", partition).join(F.broadcast(starts), "partition")
+    return rows.withColumn("at", F.col("start") + place).drop("partition", "start", "number")
+
+
 def render(conversations: DataFrame) -> DataFrame:
     """(conv_id, part, n_turns, n_copies, text) of every maximal conversation.
 
     A turn reads ``<|role|>``, a line end, its text, a line end and ``<|end|>`` with
     a line end; the texts of a conversation's parts, in their order, make the whole.
-    ``part`` numbers blocks of ``PART`` turn numbers, and most conversations have
+    A part has ``PART`` turns, the last one what is left; most conversations have
     only part 0.  The marks' ``<|`` is written ``< |`` inside roles and texts.
 
     A repeated row counts once.  Turns with one number follow in order of role, then
-    text.  Null roles read ``unknown``, null texts are empty, null turn numbers come
-    first (part -1), and rows without conv_id form one conversation.  An empty table
+    text, nulls first.  Null roles read ``unknown``, null texts are empty, null turn
+    numbers come first, and rows without conv_id form one conversation.  An empty table
     gives an empty result; other columns are ignored.
     """
-    kept = common.stored(_maximal(_turns(conversations)).select("conv", "n", "n_copies"))
+    turns = common.stored(_turns(conversations))
+    kept = _maximal(turns).select("conv", "n", "n_copies")
+    # conversations meet cells, which have no texts, and cells meet rows
+    cells = turns.select("conv", "block", "cell").distinct().join(kept, "conv")
+    rows = conversations.select(*_place(), "turn", "role", "text").distinct().join(cells, ["conv", "block", "cell"])
+    rows = _ranked(rows.select("conv", "n", "n_copies", "turn", "role", "text"))
+    rows = common.stored(rows.withColumn("stretch", F.floor(F.col("at") / PART).cast("long")))
+    firsts = rows.groupBy("conv").agg(F.min("at").alias("first"))
+    stretches = rows.select("conv", "stretch").distinct().join(firsts, "conv")
+    rows = rows.join(stretches, ["conv", "stretch"]).withColumn("part", F.floor((F.col("at") - F.col("first")) / PART).cast("long"))
     plain = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
-    part = F.coalesce(F.floor(F.col("turn") / PART), F.lit(-1)).cast("long")
-    rows = (
-        conversations.select(F.struct(F.col("conv_id").isNull().alias("none"), F.col("conv_id").alias("id")).alias("conv"), part.alias("part"), "turn", "role", "text")
-        .join(kept, "conv")
-        .distinct()
-    )
     line = F.concat(
         F.lit("<|"), plain(F.coalesce("role", F.lit("unknown"))), F.lit("|>\n"), plain(F.coalesce("text", F.lit(""))), F.lit("\n<|end|>\n")
     )
-    lines = F.sort_array(F.collect_list(F.struct("turn", "role", "text", line.alias("line"))))
+    lines = F.sort_array(F.collect_list(F.struct("at", line.alias("line"))))  # PART of them at most
     parts = rows.groupBy("conv", "n", "n_copies", "part").agg(lines.alias("lines"))
     return parts.select(
         F.col("conv.id").alias("conv_id"), "part", F.col("n").alias("n_turns"), "n_copies", F.array_join(F.col("lines.line"), "").alias("text")
@@ -113,11 +137,11 @@ r AS (
 full_ones AS (SELECT prefix, min(conv_id) AS conv_id, count(*) AS n_copies FROM r WHERE n = n_turns GROUP BY prefix),
 kept AS (SELECT f.* FROM full_ones f ANTI JOIN (SELECT DISTINCT prefix FROM r WHERE n < n_turns) p ON f.prefix = p.prefix),
 lines AS (
-  SELECT t.conv_id, CAST(floor(t.turn / 256) AS BIGINT) AS part, t.turn, t.role, t.text, k.n_copies,
+  SELECT t.conv_id, (row_number() OVER (PARTITION BY t.conv_id ORDER BY t.turn NULLS FIRST, t.role NULLS FIRST, t.text NULLS FIRST) - 1) // 256 AS part, t.turn, t.role, t.text, k.n_copies,
          '<|' || replace(coalesce(t.role, 'unknown'), '<|', '< |') || '|>' || chr(10) || replace(coalesce(t.text, ''), '<|', '< |') || chr(10) || '<|end|>' || chr(10) AS line
   FROM t JOIN kept k ON t.conv_id = k.conv_id
 )
 SELECT conv_id, part, CAST(sum(count(*)) OVER (PARTITION BY conv_id) AS BIGINT) AS n_turns, CAST(max(n_copies) AS BIGINT) AS n_copies,
-       string_agg(line, '' ORDER BY turn, role, text) AS text
+       string_agg(line, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
 FROM lines GROUP BY conv_id, part
 """
