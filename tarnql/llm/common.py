@@ -11,9 +11,12 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Labelled rows that a classifier is fitted on, at most (the rows whose hashed ids come first).
 SAMPLE_ROWS = 8000
+#: Features of these rows together, at most, but for the last row's: the driver holds them.
+SAMPLE_FEATURES = 20_000_000
 #: Documents per Arrow batch; bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
@@ -124,6 +127,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, k: int, remainder:
     return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
+def within(sample: DataFrame, size: Column, most: int) -> DataFrame:
+    """The rows of a sample, which has at most a few thousand, whose sizes add up to ``most`` in order of hashed ids, and the one that goes beyond."""
+    sample = stored(sample)
+    ids = sample.select("doc_id", size.alias("_n"), F.xxhash64("doc_id").alias("_h"))
+    before = Window.orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    ids = ids.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < most).select("doc_id")
+    return sample.join(F.broadcast(ids), "doc_id")  # of as many ids as the sample has
+
+
 def release() -> None:
     """Gives memory back that Arrow keeps after large results, so that it doesn't add to what comes next."""
     import gc

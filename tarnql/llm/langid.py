@@ -162,7 +162,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text where
     there is no training text.  Of languages equally near, the first in order of bytes
-    is taken.  A row without an id is neither held out nor learned from.
+    is taken.  A row without an id is neither held out nor learned from.  Repeated rows
+    have the same result each, and count as often as they occur; an empty table gives an
+    empty result.  Columns other than doc_id, text and lang are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs))  # DIMENSION numbers a language
     kind = dict(docs.dtypes)["doc_id"]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common, text
 
@@ -111,13 +112,14 @@ def _sampled(batches):
         rows, cols, vals = features(texts)
         cuts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(texts)))]).astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (cols.astype(np.int32), vals)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label"), *lists], names=["doc_id", "label", "cols", "vals"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], names=["doc_id", "label", "cols", "vals"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = common.SAMPLE_ROWS) -> tuple[np.ndarray, float] | None:
-    """The model of at most ``rows`` labelled documents outside the held-out fold."""
+    """The model of at most ``rows`` labelled documents outside the held-out fold, and ``common.SAMPLE_FEATURES`` features of them."""
     sample = common.labelled(docs, labels, "quality", 4, 2, rows)
-    sample = common.map_arrow(sample, _sampled, "doc_id long, label int, cols array<int>, vals array<float>").toArrow().sort_by("doc_id")
+    sample = common.map_arrow(sample, _sampled, f"doc_id {dict(sample.dtypes)['doc_id']}, label int, cols array<int>, vals array<float>")
+    sample = common.within(sample, F.size("cols"), common.SAMPLE_FEATURES).toArrow().sort_by("doc_id")
     cols, vals = (sample.column(c).combine_chunks() for c in ("cols", "vals"))
     samples = [(cols[i].values.to_numpy(), vals[i].values.to_numpy()) for i in range(len(sample))]
     model = fit(samples, sample.column("label").to_numpy().astype(np.float64))
@@ -137,8 +139,11 @@ def _scored(batches, model, name: str):
 def annotate(docs: DataFrame, labels: DataFrame, name: str = "score", rows: int = common.SAMPLE_ROWS) -> DataFrame:
     """``docs`` with the chance that a text is labelled good, in a column ``name``.
 
-    A null text is scored as an empty one.  Without a labelled row to learn from, every
-    score is the threshold, so that nothing is rejected without evidence.
+    A null text is scored as an empty one; a row without an id isn't learned from.
+    Repeated rows have the same score each; of texts or labels of one id, the smallest
+    text and the largest label are learned from.  Without a labelled row to learn from,
+    every score is the threshold, so that nothing is rejected without evidence; an empty
+    table gives an empty result.  Ids are of any type that has an order.
     """
     if name in docs.columns:
         raise ValueError(f"docs have a column {name}: choose another name")

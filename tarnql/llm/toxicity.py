@@ -114,13 +114,14 @@ def _sampled(batches):
         rows, cols = terms(texts)
         cuts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(texts)))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(cols.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label"), lists], names=["doc_id", "label", "cols"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], names=["doc_id", "label", "cols"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS):
-    """The model of at most ``rows`` labelled documents outside the held-out fold."""
+    """The model of at most ``rows`` labelled documents outside the held-out fold, and ``common.SAMPLE_FEATURES`` terms of them."""
     sample = common.labelled(docs, labels, "toxic", 5, 0, rows)
-    sample = common.map_arrow(sample, _sampled, "doc_id long, label int, cols array<int>").toArrow().sort_by("doc_id")
+    sample = common.map_arrow(sample, _sampled, f"doc_id {dict(sample.dtypes)['doc_id']}, label int, cols array<int>")
+    sample = common.within(sample, F.size("cols"), common.SAMPLE_FEATURES).toArrow().sort_by("doc_id")
     cols = sample.column("cols").combine_chunks()
     model = fit([cols[i].values.to_numpy() for i in range(len(sample))], sample.column("label").to_numpy().astype(np.float64))
     del sample, cols
@@ -140,9 +141,11 @@ def _scored(batches, model):
 def score(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``.
 
-    A null text is scored as an empty one; a row without an id isn't held out.  Without
-    a labelled row to learn from, every score is 0.  Columns other than doc_id and text
-    are ignored.
+    A null text is scored as an empty one; a row without an id is neither held out nor
+    learned from.  Repeated rows have the same score each; of texts or labels of one id,
+    the smallest text and the largest label are learned from.  Without a labelled row to
+    learn from, every score is 0; an empty table gives an empty result.  Ids are of any
+    type that has an order; columns other than doc_id and text are ignored.
     """
     model = learn(docs, labels, rows)
     sent = docs.sparkSession.sparkContext.broadcast(model) if model else None  # 2**BITS * (1 + FACTORS) floats

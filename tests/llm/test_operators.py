@@ -12,10 +12,11 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import __spark_entry__
-from tarnql.llm import bpe, chat, decontam, exact, gru, langid, lm, pii, quality, simhash, text, toxicity
+from tarnql.llm import bpe, chat, common, decontam, exact, gru, langid, lm, pii, quality, simhash, text, toxicity
 
 TESTDATA = "/root/testdata/sf0.001"
 fold = lambda i, k: zlib.crc32(str(i).encode()) % k if i is not None else None
@@ -186,6 +187,34 @@ def test_trigram_counts_of_chunks(monkeypatch):
     assert (vectors[0] == direct).all() and not vectors[1:].any()
 
 
+def test_predictions_are_those_of_plain_cosines(spark):
+    """Over vectors of signs bundled trigram by trigram, with sums of Python numbers."""
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("die katze und der hund", "de"), ("le chat et le chien", "fr"), ("the sun", "en"), ("der und", None), ("le the", None), ("", None), ("12", "en"), (None, "de")] * 3)]
+    signs = lambda k: langid.trigram_vectors(np.array([k]))[0].tolist()
+
+    def bundle(whole):
+        total = [0] * langid.DIMENSION
+        for k, n in zip(*(x.tolist() for x in langid.trigrams(whole or ""))):
+            total = [a + n * b for a, b in zip(total, signs(k))]
+        return total
+
+    prototypes = {}
+    for d, t, lang in rows:
+        if lang and t is not None and fold(d, 4) != 2:
+            prototypes[lang] = [a + b for a, b in zip(prototypes.get(lang, [0] * langid.DIMENSION), bundle(t))]
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    found = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    for d, t, _ in rows:
+        v = bundle(t)
+        near = {lang: cosine(v, p) for lang, p in prototypes.items()} if any(v) else {"und": 0.0}
+        assert math.isclose(found[d].score, min(1, max(0, max(near.values()))), abs_tol=1e-9) and near[found[d].lang_pred] > max(near.values()) - 1e-9
+
+
+def test_of_languages_equally_near_the_first_is_taken(spark):
+    rows = [(k, "same words here", lang) for k, lang in enumerate(["zz", "aa", "mm"] * 6)]
+    assert {r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} == {"aa"}
+
+
 # -- 4
 
 
@@ -396,6 +425,98 @@ def test_factorization_machine_learns_pairs_of_words_that_say_nothing_alone():
     assert np.mean(found == truth[1200:]) > 0.97
 
 
+def test_margin_is_the_sum_over_all_pairs():
+    r = np.random.default_rng(0)
+    w0, w, v = 0.3, r.normal(size=20), r.normal(size=(20, toxicity.FACTORS))
+    texts = [r.permutation(20)[:n] for n in (0, 1, 2, 7, 20)]
+    rows, cols = np.repeat(np.arange(5), [len(t) for t in texts]), np.concatenate(texts)
+    margin, _ = toxicity._margin(rows, cols, 5, w0, w, v)
+    for t, m in zip(texts, margin):
+        pairs = sum(float(v[a] @ v[b]) for a, b in itertools.combinations(t, 2))
+        assert math.isclose(m, w0 + sum(w[k] for k in t) + pairs, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_terms_are_words_and_long_words_beginnings():
+    top = lambda h: int(h) >> (64 - toxicity.BITS)
+    of = lambda word: text.tokens([word], text.ALNUM)[0]
+    for whole in (b"the insulted, the insults: 12345 \xc3\xa9t\xc3\xa9s", b"", b"...", b"a " * 5000):
+        words = {w for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", whole)}
+        wanted = {top(of(w)[0]) for w in words} | {top(text.mix(of(w[:4]) + np.uint64(1))[0]) for w in words if len(w) > 4}
+        rows, cols = toxicity.terms([b"x", whole])
+        assert set(cols[rows == 1].tolist()) == wanted and len(cols[rows == 1]) == len(wanted)
+
+
+def test_quality_features_are_those_of_a_plain_count():
+    top = lambda h: int(h) >> (64 - quality.BITS)
+    mask = text.MASK
+
+    def plain(whole):
+        found = collections.Counter()
+        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", whole)
+        hashes = [int(text.tokens([t.lower()], text.RUNS)[0][0]) for t in tokens]
+        for k, (t, h) in enumerate(zip(tokens, hashes)):
+            upper = len(re.findall(rb"[A-Z]", t))
+            shape = min(upper, 2) + 3 * (upper == len(t)) + 6 * bool(re.search(rb"[0-9]", t)) + 16
+            found[top(h)] += 1
+            found[top(text.mix(np.array([shape * int(quality._SHAPE) & mask], np.uint64))[0])] += 1
+            if k:
+                found[top(text.mix(np.array([(hashes[k - 1] * int(quality._PAIR) + h) & mask], np.uint64))[0])] += 1
+                found[top(quality._REPEAT)] += h == hashes[k - 1]
+        found = +found
+        norm = math.sqrt(sum(found.values()))
+        return {k: math.sqrt(n) / norm for k, n in found.items()}
+
+    texts = ["The the CAT, cat 2x ... é!".encode(), b"", b"  ", b"one", b"a b " * 3000]
+    rows, cols, vals = quality.features(texts)
+    for k, t in enumerate(texts):
+        mine = dict(zip(cols[rows == k].tolist(), vals[rows == k].tolist()))
+        wanted = plain(t)
+        assert mine.keys() == wanted.keys() and all(math.isclose(mine[c], wanted[c], rel_tol=1e-5) for c in wanted)
+
+
+def test_follow_the_regularised_leader_is_that_of_plain_loops(monkeypatch):
+    r = random.Random(0)
+    samples = [(np.array(sorted(r.sample(range(12), r.randint(0, 6))), np.int64), None) for _ in range(40)]
+    samples = [(c, np.array([r.random() for _ in c], np.float32)) for c, _ in samples]
+    labels = np.array([float(r.random() < 0.5) for _ in samples])
+    monkeypatch.setattr(quality, "EPOCHS", 3)
+    monkeypatch.setattr(quality, "BATCH", 8)
+    w, bias = quality.fit(samples, labels, bits=4)
+    a, b, l1, l2 = quality.ALPHA, quality.BETA, quality.L1, quality.L2
+    z, n, zb, nb = [0.0] * 16, [0.0] * 16, 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((b + math.sqrt(n[i])) / a + l2)
+    for epoch in range(3):
+        order = np.random.default_rng(epoch).permutation(40)
+        for k in range(0, 40, 8):
+            ws, wb, g, gb = [weight(i) for i in range(16)], -zb / ((b + math.sqrt(nb)) / a), [0.0] * 16, 0.0
+            for i in order[k : k + 8]:
+                error = 1 / (1 + math.exp(-wb - sum(ws[c] * float(x) for c, x in zip(*samples[i])))) - labels[i]
+                gb += error
+                for c, x in zip(*samples[i]):
+                    g[c] += error * float(x)
+            for i in range(16):
+                z[i] += g[i] - (math.sqrt(n[i] + g[i] ** 2) - math.sqrt(n[i])) / a * ws[i]
+                n[i] += g[i] ** 2
+            zb += gb - (math.sqrt(nb + gb**2) - math.sqrt(nb)) / a * wb
+            nb += gb**2
+    assert np.allclose(w, [weight(i) for i in range(16)], rtol=1e-5, atol=1e-7) and math.isclose(bias, -zb / ((b + math.sqrt(nb)) / a), rel_tol=1e-6)
+
+
+def test_classifiers_take_ids_of_any_type(spark, odd, labels):
+    named = lambda df: df.selectExpr("'d' || doc_id AS doc_id", *df.columns[1:])
+    assert toxicity.score(named(odd), named(labels)).count() == odd.count() == quality.annotate(named(odd), named(labels), "q").count()
+    assert {type(r.doc_id) for r in toxicity.score(named(odd), named(labels)).collect()} == {str, type(None)}
+
+
+def test_a_sample_is_bounded_by_its_features(spark):
+    df = spark.createDataFrame([(k, k % 4) for k in range(50)], "doc_id long, n long")
+    order = [r.doc_id for r in df.selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").collect()]
+    sizes = list(itertools.accumulate((d % 4 for d in order), initial=0))
+    kept = {r.doc_id for r in common.within(df, F.col("n"), 20).collect()}
+    assert kept == {d for d, before in zip(order, sizes) if before < 20} and 5 < len(kept) < 30
+    assert common.within(df, F.col("n"), 10**6).count() == 50
+
+
 def test_classifiers(spark, odd, nothing, labels):
     scored = toxicity.score(odd, labels).collect()
     assert len(scored) == odd.count() and all(0 <= r.score <= 1 and r.held_out == (fold(r.doc_id, 5) == 0) and r.predicted == (r.score >= 0.5) for r in scored)
@@ -412,9 +533,6 @@ def test_quality_by_held_out_rows(spark):
     found = {r.doc_id: r for r in __spark_entry__.queries()["op9_quality"](spark, big).collect()}
     truth = [r for r in spark.read.parquet(f"{big}/labels.parquet").collect() if fold(r.doc_id, 4) == 2]
     assert np.mean([found[r.doc_id].predicted == r.quality for r in truth]) > 0.9
-    toxic = {r.doc_id: r for r in __spark_entry__.queries()["op6_toxicity"](spark, big).collect()}
-    truth = [r for r in spark.read.parquet(f"{big}/labels.parquet").collect() if fold(r.doc_id, 5) == 0]
-    assert np.mean([toxic[r.doc_id].predicted == r.toxic for r in truth]) > 0.85
 
 
 def test_quality_makes_as_many_passes_over_any_sample(monkeypatch):
@@ -451,6 +569,33 @@ def test_chat(spark):
     assert "Python" not in chat.render(df)._jdf.queryExecution().toString()
 
 
+def test_chat_without_turn_numbers_in_parts(spark):
+    """A third of the rows in one conversation, all with one turn number; another third without a conversation or a number."""
+    rows = spark.range(9000).selectExpr("CASE id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN NULL ELSE 'c' || id % 500 END AS conv_id", "CASE id % 3 WHEN 0 THEN 7 WHEN 2 THEN id DIV 500 END AS turn", "'user' AS role", "'t' || id AS text", "1 AS part", "2 AS block", "'x' AS conv")
+    whole, texts = collections.Counter(), collections.defaultdict(str)
+    for r in chat.render(rows).orderBy("conv_id", "part").collect():
+        n = r.text.count("<|end|>")
+        assert n == chat.PART or r.part == (r.n_turns - 1) // chat.PART and n == r.n_turns - r.part * chat.PART
+        whole[r.conv_id] += n
+        texts[r.conv_id] += r.text
+    assert whole["hot"] == whole[None] == 3000 and sum(whole.values()) == 9000
+    assert [t for t in texts["hot"].split("\n") if t[:1] == "t"] == sorted(f"t{k}" for k in range(0, 9000, 3))
+
+
+def test_chat_is_the_oracle_on_ties_and_long_texts(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(f"c{k % 9}", r.randint(0, 3), r.choice(["user", "bot", None, "<|x"]), r.choice(["a", "b", None, "", "long " * 40_000, "<|end|>"])) for k in range(300)]
+    rows += [(f"s{k}", t, "user", f"m{t}") for k in range(1, 30) for t in range(k)]  # snapshots of one conversation
+    rows += [("big", t, "user", f"m{t}") for t in range(600)]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "c.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c.parquet/*.parquet'")
+    wanted = con.sql(chat.ORACLE)
+    got = chat.render(df).select(*wanted.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(wanted.fetchall())
+
+
 # -- 8
 
 
