@@ -15,6 +15,7 @@ is what encoding the whole piece at once gives.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -89,6 +90,11 @@ class Encoder:
         self.ids_of = Memo(lambda word: " ".join([decimal[i] for i in self._word(word)]))
         self.text_of = Memo(lambda word: self.decode(self._word(word)))
 
+    def forget(self) -> None:
+        """Gives back what words took."""
+        for memo in (self.known, self.ids_of, self.text_of):
+            memo.clear()
+
     def _spans(self, part: str) -> list[tuple[int, int, int]]:
         """(start, end, id) of the tokens of byte letters ``part``."""
         out, at = [], 0
@@ -185,10 +191,22 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def _digests(batches, path: str):
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str | None) -> Encoder:
+    """One for each worker process; without a path, the tokenizer is where the worker has it."""
+    return Encoder(path or word_bpe_path())
+
+
+def _forgetting(encoder: Encoder, results):
+    try:
+        yield from results
+    finally:
+        encoder.forget()
+
+
+def _digests(batches, encoder: Encoder):
     import pyarrow as pa
 
-    encoder = Encoder(path)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for batch in batches:
         rows = []
@@ -202,10 +220,9 @@ def _digests(batches, path: str):
         )
 
 
-def _encoded(batches, path: str):
+def _encoded(batches, encoder: Encoder):
     import pyarrow as pa
 
-    encoder = Encoder(path)
     for batch in batches:
         ids = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(encoder.decode, ids), pa.string())], names=["doc_id", "ids", "decoded"])
@@ -213,8 +230,7 @@ def _encoded(batches, path: str):
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of every row; a null text is an empty one."""
-    path = path or word_bpe_path()
-    return common.map_arrow(docs.select("doc_id", "text"), lambda b: _encoded(b, path), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, decoded string")
+    return common.map_arrow(docs.select("doc_id", "text"), lambda b: _forgetting(e := _encoder(path), _encoded(b, e)), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, decoded string")
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -224,7 +240,6 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     become those tokens, as the library has it.  Columns other than doc_id and text are
     ignored; an empty table gives an empty result.
     """
-    path = path or word_bpe_path()
     return common.map_arrow(
-        docs.select("doc_id", "text"), lambda b: _digests(b, path), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        docs.select("doc_id", "text"), lambda b: _forgetting(e := _encoder(path), _digests(b, e)), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -54,7 +54,16 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` over slices of bounded size."""
     ship(df.sparkSession)
     _small_batches(df.sparkSession)
-    return df.mapInArrow(lambda batches: function(slices(batches)), schema)
+    return df.mapInArrow(lambda batches: _released(function(slices(batches))), schema)
+
+
+def _released(results):
+    """``results``; the worker then gives its memory back, as it may wait long for its next task."""
+    try:
+        yield from results
+    finally:
+        del results
+        release()
 
 
 def scratch(spark: SparkSession) -> str:
@@ -137,13 +146,16 @@ def within(sample: DataFrame, size: Column, most: int) -> DataFrame:
 
 
 def release() -> None:
-    """Gives memory back that Arrow keeps after large results, so that it doesn't add to what comes next."""
+    """Gives memory back that Arrow and the C library keep after large results, so that it doesn't add to what comes next."""
+    import ctypes
     import gc
 
     import pyarrow as pa
 
     gc.collect()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
 
 
 def slices(batches):
