@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..errors import QueryError
 from .scalars import Typed
 from .types import BOOL, DATE, FLOAT, INT, NULL, NUMERIC, STRING
@@ -19,19 +17,19 @@ def aggregate(function: str, argument: Typed | None, distinct: bool = False) ->
     if argument is None:
         if function != "COUNT" or distinct:
             raise QueryError(f"{function}(*) is not supported")
-        return Typed(F.count(F.lit(1)), INT)
-    x, kind = argument.column, argument.kind
+        return Typed("count(1)", INT)
+    x, kind = argument.text, argument.kind
     match function:
         case "COUNT":
-            return Typed(F.count_distinct(x) if distinct else F.count(x), INT)
+            return Typed(f"count({'DISTINCT ' * distinct}{x})", INT)
         case "SUM" | "AVG":
             if kind not in (*NUMERIC, NULL):
                 raise QueryError(f"{function} cannot be applied to {kind}")
             if kind == NULL:
-                x, kind = x.cast("bigint"), INT
-            return Typed(F.sum(x), kind) if function == "SUM" else Typed(F.avg(x), FLOAT)
+                x, kind = argument.cast(INT).text, INT
+            return Typed(f"sum({x})", kind) if function == "SUM" else Typed(f"avg({x})", FLOAT)
         case "MIN" | "MAX":
             if kind not in (INT, FLOAT, BOOL, STRING, DATE):
                 raise QueryError(f"{function} cannot be applied to {kind}")
-            return Typed(F.min(x) if function == "MIN" else F.max(x), kind)
+            return Typed(f"{function.lower()}({x})", kind)
     raise QueryError(f"function {function} is not supported")

@@ -1,33 +1,37 @@
-"""Relational operators over DataFrames.
+"""Relational operators as nested statements of Spark SQL.
 
-Each is the declarative form that Catalyst plans: partial and final aggregates around an
+Each takes and returns the text of a query, so that a plan of any depth is analysed and
+planned once.  Catalyst finds the physical form: partial and final aggregates around an
 exchange, broadcast or shuffled joins by measured size, top-k without a full sort.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping, Sequence
 
 from ..errors import QueryError
+from ..functions.scalars import name
+
+
+def _list(named: Mapping[str, str]) -> str:
+    return ", ".join(f"{text} AS {name(n)}" for n, text in named.items()) or "1"
 
 
-def scan(table: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """A table, or some of its columns: only these are read."""
-    return table if columns is None else table.select(*[f"`{c}`" for c in columns])
+def scan(view: str, columns: Mapping[str, str]) -> str:
+    """Some columns of a table: only these are read."""
+    return f"SELECT {_list(columns)} FROM {name(view)}"
 
 
-def filtered(df: DataFrame, condition: Column) -> DataFrame:
-    """Rows for which the condition is true; neither false nor NULL."""
-    return df.where(condition)
+def filtered(query: str, conditions: Sequence[str]) -> str:
+    """Rows for which all conditions are true; neither false nor NULL."""
+    return f"SELECT * FROM ({query}) WHERE {' AND '.join(conditions)}" if conditions else query
 
 
-def project(df: DataFrame, named: dict[str, Column]) -> DataFrame:
-    return df.select(*[c.alias(n) for n, c in named.items()])
+def project(query: str, named: Mapping[str, str]) -> str:
+    return f"SELECT {_list(named)} FROM ({query})"
 
 
-def hash_join(build: DataFrame, probe: DataFrame, keys: Sequence[tuple[Column, Column]]) -> DataFrame:
+def hash_join(build: str, probe: str, keys: Sequence[tuple[str, str]]) -> str:
     """Inner join on pairs of keys; a NULL key matches nothing; the build side's columns come first.
 
     No side is forced into a broadcast: the planner does that below the session's size
@@ -35,32 +39,25 @@ def hash_join(build: DataFrame, probe: DataFrame, keys: Sequence[tuple[Column, C
     """
     if not keys:
         raise QueryError("a join needs a pair of keys: cross joins are not supported")
-    condition = keys[0][0] == keys[0][1]
-    for a, b in keys[1:]:
-        condition &= a == b
-    return build.join(probe, condition, "inner")
+    return f"SELECT * FROM ({build}) JOIN ({probe}) ON {' AND '.join(f'{a} = {b}' for a, b in keys)}"
 
 
-def aggregate(df: DataFrame, keys: Sequence[Column], values: Sequence[Column]) -> DataFrame:
+def aggregate(query: str, keys: Mapping[str, str], values: Mapping[str, str]) -> str:
     """Grouped, or without keys one row even for no input; NULL is a group of its own; without values the distinct keys."""
     if not values:
-        return df.select(*keys).distinct()
-    return df.groupBy(*keys).agg(*values) if keys else df.agg(*values)
+        return f"SELECT DISTINCT {_list(keys)} FROM ({query})"
+    return project(query, {**keys, **values}) + (f" GROUP BY {', '.join(keys.values())}" if keys else "")
 
 
-def distinct(df: DataFrame) -> DataFrame:
-    return df.distinct()
+def distinct(query: str) -> str:
+    return f"SELECT DISTINCT * FROM ({query})"
 
 
-def ordered(df: DataFrame, keys: Sequence[tuple[Column, bool]]) -> DataFrame:
+def ordered(query: str, keys: Sequence[tuple[str, bool]]) -> str:
     """Sorted by (column, descending) pairs, NULLs first either way."""
-    return df.orderBy(*[c.desc_nulls_first() if descending else c.asc_nulls_first() for c, descending in keys])
-
-
-def limit(df: DataFrame, n: int) -> DataFrame:
-    return df.limit(n)
+    return f"SELECT * FROM ({query}) ORDER BY {', '.join(f'{k} {'DESC' if d else 'ASC'} NULLS FIRST' for k, d in keys)}"
 
 
-def top(df: DataFrame, keys: Sequence[tuple[Column, bool]], n: int) -> DataFrame:
-    """The first ``n`` rows in order: Catalyst keeps ``n`` a partition and merges them."""
-    return limit(ordered(df, keys), n)
+def limit(query: str, n: int) -> str:
+    """The first rows; after ``ordered``, Catalyst keeps ``n`` a partition and merges them."""
+    return f"SELECT * FROM ({query}) LIMIT {n}"

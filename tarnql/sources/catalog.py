@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import threading
+import uuid
+import weakref
 from collections.abc import Mapping
 from pathlib import Path
 
@@ -24,7 +26,8 @@ class Catalog:
 
     def __init__(self, tables: Mapping[str, str] | None = None, dates: bool = False):
         self._paths: dict[str, str] = dict(tables or {})
-        self._frames: dict[tuple[str, str], DataFrame] = {}
+        self._frames: weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]] = weakref.WeakKeyDictionary()
+        self._views: weakref.WeakKeyDictionary[SparkSession, dict[str, str]] = weakref.WeakKeyDictionary()
         self._given: dict[str, T.StructType] = {}
         self._lock = threading.Lock()
         self.dates = dates
@@ -63,7 +66,8 @@ class Catalog:
         """Adds or replaces a table; with a schema, no file is read before a query runs."""
         with self._lock:
             self._paths[name] = path
-            self._frames = {k: v for k, v in self._frames.items() if k[1] != name}
+            for known in (*self._frames.values(), *self._views.values()):
+                known.pop(name, None)
             self._given.pop(name, None)
             if schema is not None:
                 self._given[name] = schema
@@ -80,20 +84,29 @@ class Catalog:
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         """The table's rows, with the dialect's dates if asked for."""
         path = self.path(name)
-        key = (spark.sparkContext.applicationId, name)
         with self._lock:
-            if key not in self._frames:
+            frames = self._frames.setdefault(spark, {})
+            if name not in frames:
                 reader = spark.read.schema(self._given[name]) if name in self._given else spark.read
                 try:
-                    self._frames[key] = reader.parquet(path)
+                    df = reader.parquet(path)
                 except Exception as e:
                     raise QueryError(f"table {name} cannot be opened at {path}: {str(e).splitlines()[0]}") from e
-            df = self._frames[key]
-        if self.dates:
-            stamps = {f.name for f in df.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))}
-            if stamps:
-                df = df.select(*[F.to_date(f"`{c}`").alias(c) if c in stamps else F.col(f"`{c}`") for c in df.columns])
-        return df
+                stamps = {f.name for f in df.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))} if self.dates else ()
+                if stamps:
+                    df = df.select(*[F.to_date(f"`{c}`").alias(c) if c in stamps else F.col(f"`{c}`") for c in df.columns])
+                frames[name] = df
+            return frames[name]
+
+    def view(self, spark: SparkSession, name: str) -> str:
+        """The temporary view of a table, under a name of its own that stays as long as the session."""
+        df = self.table(spark, name)
+        with self._lock:
+            views = self._views.setdefault(spark, {})
+            if name not in views:
+                df.createOrReplaceTempView(view := f"tarnql_{uuid.uuid4().hex}")
+                views[name] = view
+            return views[name]
 
     def schema(self, spark: SparkSession, name: str) -> T.StructType:
         return self.table(spark, name).schema
