@@ -8,19 +8,22 @@ its whole tables; a LIMIT stands only where the order of rows is what the query
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import lru_cache, partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from .errors import QueryError
 from .plans.lower import query
 from .sources import fsck, ingest, sink
 from .sources.catalog import Catalog
+from .sources.paths import children, fresh
+from .sources.sink import aligned
 
 
 @dataclass(frozen=True)
@@ -137,15 +140,15 @@ PAIRS: dict[str, Pair] = {
         "SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem ORDER BY l_returnflag DESC, l_orderkey, l_linenumber DESC"
     ),
     "r15_nulls_first_asc": Pair(
-        f"SELECT l_orderkey, l_linenumber, {NUM} AS line FROM lineitem ORDER BY line, l_orderkey, l_linenumber LIMIT 100",
-        f"SELECT l_orderkey, l_linenumber, {NUM} AS line FROM lineitem ORDER BY line NULLS FIRST, l_orderkey, l_linenumber LIMIT 100",
+        f"SELECT l_orderkey, l_linenumber, {NUM} AS line FROM lineitem ORDER BY line, l_orderkey, l_linenumber",
+        f"SELECT l_orderkey, l_linenumber, {NUM} AS line FROM lineitem ORDER BY line NULLS FIRST, l_orderkey, l_linenumber",
     ),
     "r15_nulls_first_desc": Pair(
-        f"SELECT l_orderkey, l_linenumber, {NUM} AS line FROM lineitem ORDER BY line DESC, l_orderkey, l_linenumber LIMIT 100",
-        f"SELECT l_orderkey, l_linenumber, {NUM} AS line FROM lineitem ORDER BY line DESC NULLS FIRST, l_orderkey, l_linenumber LIMIT 100",
+        f"SELECT l_orderkey, l_linenumber, {NUM} AS line FROM lineitem ORDER BY line DESC, l_orderkey, l_linenumber",
+        f"SELECT l_orderkey, l_linenumber, {NUM} AS line FROM lineitem ORDER BY line DESC NULLS FIRST, l_orderkey, l_linenumber",
     ),
-    "r15_negative_floats": Pair("SELECT c_custkey, c_acctbal - 5000 AS rest FROM customer ORDER BY rest, c_custkey LIMIT 50"),
-    "r15_sort_hidden": Pair("SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20"),
+    "r15_negative_floats": Pair("SELECT c_custkey, c_acctbal - 5000 AS rest FROM customer ORDER BY rest, c_custkey"),
+    "r15_sort_hidden": Pair("SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey"),
     "r16_limit": Pair("SELECT COUNT(*) AS n FROM lineitem LIMIT 5"),
     "r16_limit0": Pair("SELECT o_orderkey FROM orders LIMIT 0"),
     "r17_topk": Pair("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
@@ -224,6 +227,10 @@ PAIRS: dict[str, Pair] = {
     "p2_join_aggregate": Pair(
         "SELECT o_orderpriority, l_linestatus, COUNT(*) AS n, SUM(l_quantity) AS q FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_discount > 0.03 GROUP BY o_orderpriority, l_linestatus"
     ),
+    "p3_large_build": Pair(
+        "SELECT a.l_orderkey, COUNT(*) AS n, SUM(b.l_linenumber) AS lines FROM lineitem a, lineitem b WHERE a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey GROUP BY a.l_orderkey",
+        "SELECT a.l_orderkey, COUNT(*) AS n, CAST(SUM(b.l_linenumber) AS BIGINT) AS lines FROM lineitem a, lineitem b WHERE a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey GROUP BY a.l_orderkey",
+    ),
     "p5_string_keys": Pair(
         "SELECT o_orderstatus, o_orderpriority, c_mktsegment, COUNT(*) AS n FROM orders, customer WHERE o_custkey = c_custkey GROUP BY o_orderstatus, o_orderpriority, c_mktsegment"
     ),
@@ -275,35 +282,86 @@ def run(spark: SparkSession, sf_dir: str, pair: Pair) -> DataFrame:
     return df.select(*[F.round(f.name, pair.digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema])
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that all executors share; a local one where none is named, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/tarnql-{uuid.uuid4().hex}"
+RANGES = ((0, 10_000), (10_000, 20_000), (20_000, None))
 
 
 def s2_scan_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scan in ranges: rows are counted by range, and the counts added up."""
-    rows = catalog(sf_dir).table(spark, "lineitem").select("l_linenumber")
-    ranges = rows.groupBy(F.spark_partition_id().alias("range")).agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
-    return ranges.agg(F.sum("n").alias("n"), F.sum("lines").alias("lines"))
+    """The scan in three ranges of rows, each asked for by itself."""
+    parts = [catalog(sf_dir).rows(spark, "lineitem", *r).agg(F.lit(k).alias("range"), F.count("*").alias("n"), F.coalesce(F.sum("l_linenumber"), F.lit(0)).alias("s")) for k, r in enumerate(RANGES)]
+    each = reduce(DataFrame.unionByName, parts)
+    # three rows: of each range its rows, of all ranges the sum of lines
+    return each.select("range", "n", F.sum("s").over(Window.partitionBy()).alias("lines"))
 
 
 def s5_write_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result written as a table, and read through a catalog."""
-    path = _folder(spark)
+    path = fresh(spark)
     sink.write_table(query(spark, catalog(sf_dir), "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'"), path)
     return query(spark, Catalog.single(spark, "written", path), "SELECT * FROM written")
 
 
 def s8_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pipe-delimited lines of a table to Parquet and back."""
-    path = _folder(spark)
+    path = fresh(spark)
     region = catalog(sf_dir).table(spark, "region")
     region.select(F.concat(F.concat_ws("|", "r_regionkey", "r_name", F.lit("no comment")), F.lit("|"))).write.text(f"{path}/region.tbl")
     ingest.ingest(spark, f"{path}/region.tbl", "region", f"{path}/region.parquet")
     return query(spark, Catalog({"region": f"{path}/region.parquet"}), "SELECT * FROM region")
 
 
+def s6_checked_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written with checksums of its pages, and read with all of them compared."""
+    path = fresh(spark)
+    sink.write_table(catalog(sf_dir).table(spark, "lineitem"), path)
+    return query(spark, Catalog.single(spark, "written", path), "SELECT l_returnflag, COUNT(*) AS n, SUM(l_linenumber) AS lines, MAX(l_shipdate) AS last FROM written GROUP BY l_returnflag")
+
+
+def s7_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers, fractions, booleans, texts, dates and NULLs, written with dictionaries and without, and read back."""
+    path = fresh(spark)
+    rows = query(spark, catalog(sf_dir), f"SELECT l_orderkey, l_linenumber, l_discount, l_quantity > 25 AS many, {FLAG} AS flag, l_shipdate FROM lineitem")
+    for name, dictionary in (("a", "true"), ("b", "false")):
+        rows.write.option("parquet.enable.dictionary", dictionary).option("parquet.writer.version", "v2").parquet(f"{path}/{name}.parquet")
+    both = Catalog.folder(path)
+    return query(spark, both, "SELECT a.l_orderkey, a.l_linenumber, a.l_discount, a.many, a.flag, a.l_shipdate FROM a, b WHERE a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_discount = b.l_discount AND a.many = b.many AND a.l_shipdate = b.l_shipdate AND (a.flag = b.flag OR a.flag IS NULL AND b.flag IS NULL)")
+
+
+def s9_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of a catalog file on the shared storage."""
+    path = fresh(spark)
+    tables = [{"name": new, "path": catalog(sf_dir).path(old)} for new, old in (("lands", "nation"), ("parts_of_the_world", "region"))]
+    spark.range(1).select(F.lit(json.dumps({"tables": tables}))).coalesce(1).write.text(path)
+    (file,) = children(path, ".txt").values()
+    return query(spark, Catalog.open(file), "SELECT n_name, r_name FROM lands, parts_of_the_world WHERE n_regionkey = r_regionkey")
+
+
+def s11_aligned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line prints of a result."""
+    df = query(spark, catalog(sf_dir), "SELECT r_regionkey AS k, r_name AS name FROM region ORDER BY r_regionkey")
+    return spark.createDataFrame([(line,) for line in aligned(df)], "line string")
+
+
+REJECTED = (
+    "SELECT COUNT(*) FROM nation, region",
+    "SELECT COUNT(*) FROM nation, region WHERE n_regionkey < r_regionkey",
+    "SELECT SUM(DISTINCT n_regionkey) FROM nation",
+    "SELECT AVG(DISTINCT n_regionkey) FROM nation",
+)
+
+
+def r6_a8_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements with a cross join, or with DISTINCT in another aggregate than COUNT, are errors."""
+
+    def rejected(text: str) -> bool:
+        try:
+            query(spark, catalog(sf_dir), text)
+        except QueryError:
+            return True
+        return False
+
+    return spark.createDataFrame([(k, rejected(t)) for k, t in enumerate(REJECTED)], "statement int, rejected boolean")
+
+
 def s10_fsck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The integrity check's findings, added up by column."""
     found = fsck.findings(spark, catalog(sf_dir).path("orders"))
@@ -315,7 +373,16 @@ _FSCK = " UNION ALL ".join(
     for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 )
 STORED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
-    "s2_scan_ranges": (s2_scan_ranges, "SELECT count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem"),
+    "s2_scan_ranges": (
+        s2_scan_ranges,
+        "SELECT k AS \"range\", greatest(0, least(n, hi) - lo) AS n, lines FROM (VALUES (0, 0, 10000), (1, 10000, 20000), (2, 20000, 9000000000000000000)) AS r(k, lo, hi), "
+        "(SELECT count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem)",
+    ),
+    "s6_checked_read": (s6_checked_read, "SELECT l_returnflag, COUNT(*) AS n, CAST(SUM(l_linenumber) AS BIGINT) AS lines, CAST(MAX(l_shipdate) AS DATE) AS last FROM lineitem GROUP BY l_returnflag"),
+    "s7_encodings": (s7_encodings, f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_discount, l_quantity > 25 AS many, {FLAG} AS flag, CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem"),
+    "s9_catalog": (s9_catalog, "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey"),
+    "s11_aligned_text": (s11_aligned_text, "SELECT 'k  name' AS line UNION ALL SELECT r_regionkey || '  ' || r_name FROM region"),
+    "r6_a8_rejected": (r6_a8_rejected, "SELECT CAST(k AS INTEGER) AS statement, TRUE AS rejected FROM range(4) AS t(k)"),
     "s5_write_and_read": (s5_write_and_read, "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'"),
     "s8_ingest": (s8_ingest, "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name, 'no comment' AS r_comment FROM region"),
     "s10_fsck": (s10_fsck, _FSCK),

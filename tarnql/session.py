@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.files.ignoreCorruptFiles": "false",
+    # pages are written with checksums, and whatever reads them compares
+    "spark.hadoop.parquet.page.write-checksum.enabled": "true",
+    "spark.hadoop.parquet.page.verify-checksum.enabled": "true",
     "spark.sql.files.ignoreMissingFiles": "false",
 }
 

@@ -7,13 +7,13 @@ import threading
 import uuid
 import weakref
 from collections.abc import Mapping
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import QueryError
+from .paths import children, read_text
 
 
 class Catalog:
@@ -38,7 +38,7 @@ class Catalog:
         if not config:
             return cls(dates=dates)
         try:
-            entries = json.loads(Path(config).read_text(encoding="utf-8")).get("tables", [])
+            entries = json.loads(read_text(config)).get("tables", [])
             return cls({t["name"]: t["path"] for t in entries}, dates)
         except OSError as e:
             raise QueryError(f"catalog {config} cannot be read: {e}") from e
@@ -59,8 +59,8 @@ class Catalog:
 
     @classmethod
     def folder(cls, path: str, dates: bool = True) -> Catalog:
-        """Every ``name.parquet`` in a folder."""
-        return cls({p.stem: str(p) for p in sorted(Path(path).glob("*.parquet"))}, dates)
+        """Every ``name.parquet`` in a folder of any file system."""
+        return cls(children(path, ".parquet"), dates)
 
     def register(self, name: str, path: str, schema: T.StructType | None = None) -> None:
         """Adds or replaces a table; with a schema, no file is read before a query runs."""
@@ -87,7 +87,9 @@ class Catalog:
         with self._lock:
             frames = self._frames.setdefault(spark, {})
             if name not in frames:
-                reader = spark.read.schema(self._given[name]) if name in self._given else spark.read
+                # a page that doesn't match its checksum ends a query
+                reader = spark.read.option("parquet.page.verify-checksum.enabled", "true")
+                reader = reader.schema(self._given[name]) if name in self._given else reader
                 try:
                     df = reader.parquet(path)
                 except Exception as e:
@@ -98,6 +100,11 @@ class Catalog:
                 frames[name] = df
             return frames[name]
 
+    def rows(self, spark: SparkSession, name: str, first: int, end: int | None = None) -> DataFrame:
+        """A range of a table's scan: in each of its files, the rows numbered from ``first`` up to ``end``, or to the last."""
+        df, number = self.table(spark, name), F.col("_metadata.row_index")
+        return df.where(number >= first if end is None else (number >= first) & (number < end))
+
     def view(self, spark: SparkSession, name: str) -> str:
         """The temporary view of a table, under a name of its own that stays as long as the session."""
         df = self.table(spark, name)

@@ -6,10 +6,10 @@ import shutil
 import pytest
 
 from tarnql import Catalog, QueryError, query
-from tarnql.__main__ import aligned, main, options, value
+from tarnql.__main__ import main, options
 from tarnql.sources.fsck import fsck
 from tarnql.sources.ingest import SCHEMAS, ingest
-from tarnql.sources.sink import unique_names, write_table
+from tarnql.sources.sink import aligned, unique_names, value, write_table
 
 TESTDATA = "/root/testdata/sf0.001"
 
@@ -35,6 +35,33 @@ def test_catalog(spark, tmp_path):
         Catalog.open(str(config))
 
 
+def test_folders_of_any_file_system(spark, tmp_path):
+    assert "orders" in Catalog.folder(f"file://{TESTDATA}").names and Catalog.folder(f"file://{TESTDATA}").names == Catalog.folder(TESTDATA).names
+    assert Catalog.folder(str(tmp_path / "none")).names == []
+    assert query(spark, Catalog.folder(f"file://{TESTDATA}"), "SELECT COUNT(*) FROM region").first()[0] == 5
+
+
+def test_a_damaged_page_ends_a_query(spark, tmp_path):
+    spark.range(5000).selectExpr("id", "id * 7 % 1000 AS v").coalesce(1).write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(str(tmp_path / "t"))
+    (part,) = (tmp_path / "t").glob("*.parquet")
+    (tmp_path / "t" / f".{part.name}.crc").unlink()
+    query(spark, Catalog.single(spark, "t", str(part)), "SELECT SUM(v) FROM t").collect()
+    content = bytearray(part.read_bytes())
+    place = content.index((21).to_bytes(8, "little"), 5000 * 8)  # a value of the second column
+    content[place] ^= 1
+    part.write_bytes(content)
+    assert query(spark, Catalog.single(spark, "t", str(part)), "SELECT SUM(id) FROM t").first()[0] == 4999 * 2500
+    with pytest.raises(Exception, match="(?i)crc|checksum|corrupt"):
+        query(spark, Catalog.single(spark, "t", str(part)), "SELECT SUM(v) FROM t").collect()
+
+
+def test_ranges_of_a_scan(spark):
+    catalog = Catalog.folder(TESTDATA)
+    whole = sorted(catalog.table(spark, "orders").collect())
+    parts = [catalog.rows(spark, "orders", 0, 400), catalog.rows(spark, "orders", 400, 401), catalog.rows(spark, "orders", 401)]
+    assert [p.count() for p in parts] == [400, 1, len(whole) - 401] and sorted(r for p in parts for r in p.collect()) == whole
+
+
 def test_ingest(spark, tmp_path):
     (tmp_path / "nation.tbl").write_text("0|ALGERIA|0|a \"quoted\" comment|\n1|ÄGYPTEN|4||\n", encoding="utf-8")
     ingest(spark, str(tmp_path / "nation.tbl"), "nation", str(tmp_path / "nation.parquet"))
@@ -47,6 +74,12 @@ def test_ingest(spark, tmp_path):
         (tmp_path / "bad.tbl").write_text(bad)
         with pytest.raises(Exception):
             ingest(spark, str(tmp_path / "bad.tbl"), "nation", str(tmp_path / "bad.parquet"))
+    for table, schema in SCHEMAS.items():  # two lines of each of the eight tables
+        made = [[{"long": str(k), "double": f"{k}.5", "string": f"s{k} {f.name}", "date": f"1996-02-2{k}"}[{"bigint": "long"}.get(f.dataType.simpleString(), f.dataType.simpleString())] for f in schema] for k in (1, 2)]
+        (tmp_path / "some.tbl").write_text("".join("|".join(line) + "|\n" for line in made))
+        ingest(spark, str(tmp_path / "some.tbl"), table, str(tmp_path / f"all_{table}.parquet"))
+        got = spark.read.parquet(str(tmp_path / f"all_{table}.parquet"))
+        assert got.columns == schema.names and sorted([str(x) for x in r] for r in got.collect()) == made
     assert {t: len(s) for t, s in SCHEMAS.items()} == dict(region=3, nation=4, supplier=7, customer=8, part=9, partsupp=5, orders=9, lineitem=16)
 
 
