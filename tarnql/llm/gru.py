@@ -21,7 +21,7 @@ HIDDEN, HEAD, WIDTH, TAIL = 16, 1024, 32, 32
 HEAD_CLASSES = HEAD // WIDTH
 CLASSES = HEAD_CLASSES + TAIL
 START = HEAD + TAIL
-START_LANES, TRAIN_LANES, TRAIN_WINDOW = 16, 64, 32
+START_LANES, TRAIN_LANES, TRAIN_WINDOW = 16, 128, 32
 SCORE_LANES, SCORE_WINDOW = 256, 64
 RATE = 0.1
 #: Tokens of a text that train as one sequence; scores are of whole texts.

@@ -779,7 +779,7 @@ def test_training_reaches_32_tokens_back(monkeypatch):
     monkeypatch.setattr(gru, "_gradients", lambda m, x, y, *rest: windows.append(x.shape) or real(m, x, y, *rest))
     m = gru.fresh(np.full(50, 2000.0), np.full(gru.TAIL, 0.5))
     gru.train(m, gru.still(m), np.arange(9600, dtype=np.int32) % 50, np.full(100, 96))
-    assert windows[0] == (32, 64)
+    assert windows[0] == (32, 100)
 
 
 def test_a_long_text_trains_in_pieces():
