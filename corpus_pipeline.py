@@ -63,10 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written to the shared folder for the next."""
-    docs = common.table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = common.stored(docs)
-    return docs
+    """All stages over ``documents``, each result written to the shared folder for the next; what a stage stored on the way goes once it has ended."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = common.scratch(spark)
+        with common.temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            common.delete(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)

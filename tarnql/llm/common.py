@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import io
 import tempfile
-import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -66,22 +67,30 @@ def _released(results):
         release()
 
 
+#: Where tables were stored.
+_stored: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Paths made while each ``temporary`` is open.
+_open: list[list[str]] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh path in the folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests, a local folder takes its place.
-    What was written there is deleted when the driver ends.
+    Only where that setting is absent and all of Spark is in one process, as in tests, a
+    local folder takes its place; on a cluster its absence is an error.  What was written
+    there is deleted when the driver ends, or the innermost ``temporary``.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tarnql-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tarnql-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    from ..sources.paths import fresh
+
+    path = fresh(spark)
+    atexit.register(delete, spark, path)
+    if _open:
+        _open[-1].append(path)
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes what is at ``path``, if the session still can."""
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -90,6 +99,17 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Deletes at its end what was stored on the way; what is to last is written to a path made before."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            delete(spark, path)
+
+
 def stored(df: DataFrame, block_bytes: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there.
 
@@ -99,7 +119,16 @@ def stored(df: DataFrame, block_bytes: int | None = None) -> DataFrame:
     path = scratch(spark)
     large = {"parquet.block.size": block_bytes, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": "false"}
     df.write.options(**large if block_bytes else {}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing needs any more."""
+    for df in tables:
+        if path := _stored.pop(df, None):
+            delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -296,6 +296,8 @@ def _groups(docs: DataFrame, budget: int, carry: list[str]) -> tuple[DataFrame,
     while True:
         n, weight = left.agg(F.count("*"), F.sum(F.col("size") + 2 * NODE_BYTES)).first()
         if done is not None and not n:
+            if carry:
+                common.forget(owners)  # the groups hold whole rows
             return owners, done
         # no more partitions than nodes
         parts = max(least, min(n, spread * (weight or 0) // budget))

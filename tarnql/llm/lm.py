@@ -267,8 +267,11 @@ def _average(models: DataFrame) -> np.ndarray | None:
     """The mean of models that are sums; tasks add ``ADDED`` of them at a time until few are left."""
     models = common.stored(models)
     while (n := models.count()) > ADDED:
-        models = common.stored(common.map_arrow(models.repartition(-(-n // ADDED)), _added, _MODEL))
+        fewer = common.stored(common.map_arrow(models.repartition(-(-n // ADDED)), _added, _MODEL))
+        common.forget(models)
+        models = fewer
     rows = models.collect()
+    common.forget(models)
     if not rows:
         return None
     total = sum(np.frombuffer(bytes(r["model"]), np.float64) for r in sorted(rows, key=lambda r: (r["weight"], bytes(r["model"]))))

@@ -33,6 +33,8 @@ SHINGLE = 3
 LEAST_BLOCKS, MOST_BLOCKS = 5, 9
 #: Distinct fingerprints under one listing that are compared pair by pair.
 HOT = 256
+#: Rows of one fingerprint beyond which they don't meet their component in a shuffle.
+MANY = 1_000_000
 SEED = 42
 
 
@@ -151,6 +153,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = common.stored(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        common.forget(edges)
         if now == seen:
             return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
         edges, seen = after, now
@@ -160,13 +163,18 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of ``docs``.
 
     Texts without words have fingerprint zero and link like any others.  A null id
-    never is a component's smallest one, unless it has no other.  An empty table
+    never is a component's smallest one, unless it has no other.  Repeated rows are
+    told once each; ids are of any type that has an order.  An empty table
     gives an empty result; columns other than doc_id and text are ignored.
     """
     rows = common.stored(fingerprints(docs))
-    classes = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    classes = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     roots = components(links(classes.select("fp"), hot))
-    classes = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    classes = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     labels = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = common.stored(classes.join(labels, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = common.stored(classes.join(labels, "root").select("fp", "n", "component_id"))
+    # one for each MANY rows at most: small beside any table
+    crowded = F.broadcast(named.where(F.col("n") > MANY).select("fp", "component_id"))
+    alone = rows.join(crowded, "fp", "left_anti").join(named.where(F.col("n") <= MANY).select("fp", "component_id"), "fp")
+    both = alone.unionByName(rows.join(crowded, "fp"))
+    return both.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

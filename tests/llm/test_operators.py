@@ -640,6 +640,12 @@ def test_simhash(spark, odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_many_rows_of_one_fingerprint(spark, odd, monkeypatch):
+    wanted = sorted(map(tuple, simhash.near_duplicates(odd).collect()), key=str)
+    monkeypatch.setattr(simhash, "MANY", 1)
+    assert sorted(map(tuple, simhash.near_duplicates(odd.withColumnRenamed("score", "n").withColumnRenamed("lang", "root")).collect()), key=str) == wanted
+
+
 def test_crowded_listings_lose_no_link(spark):
     r = random.Random(4)
     base = r.getrandbits(64)

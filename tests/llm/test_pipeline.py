@@ -1,5 +1,7 @@
 """The pipeline's stages, each judged on its own input."""
 
+import pathlib
+
 import duckdb
 import pytest
 
@@ -19,6 +21,30 @@ def test_run(spark, docs):
     assert 0 < len(out) <= docs.count() and len({r.doc_id for r in out}) == len(out)
 
 
+def test_nothing_is_left_of_a_stage_but_its_result(spark):
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {*shared.iterdir()}
+    corpus_pipeline.run(spark, TESTDATA).count()
+    assert len({*shared.iterdir()} - before) == 1  # what the last stage reads
+
+
+def test_stages_on_odd_rows(spark, odd):
+    """Nulls, empty and very long texts, repeated rows: each stage decides on all of them."""
+    made = odd.selectExpr("doc_id", "text", "lang", "source", "n_chars", "score AS row", "fp")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, made, TESTDATA).collect()
+        texts = [r.text for r in out]
+        assert len(out) <= 12, name
+        if name == "exact_dedup":
+            assert sorted(map(str, texts)) == sorted(map(str, {r.text for r in odd.collect()} - {odd.first().text, None, " \t\n", ""} | {" \t\n"}))
+        if name == "near_dedup":
+            assert len({*texts} & {odd.first().text, "no id here", "x" * 30000, "word " * 20000}) == 4
+        if name == "decontamination":
+            assert len(out) == 12
+    tokens = corpus_pipeline.tokens_stage(spark, made, TESTDATA).collect()
+    assert len(tokens) == 12 and {r.n_tokens for r in tokens if r.doc_id in (3, 4, 5)} == {0}
+
+
 def test_stages_keep_the_columns(spark, docs):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, TESTDATA)
