@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 NEAR = 40
 #: Least score of a reported span of a kind that isn't one of the four base kinds.
 REPORT = 0.6
+#: Matches that fit into that many characters, at most: none is shorter than five.
+AROUND = NEAR // 5
 BLOCK = 128
 
 _octet = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
@@ -50,6 +52,15 @@ def _mod97(x: Column) -> Column:
     return F.length(plain).between(15, 34) & (rest == 1)
 
 
+#: Countries of the registry of account numbers, by their numbers' length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_iban = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+
+
 def _security(x: Column) -> Column:
     return ~x.rlike("^(?:000|666|9)") & ~x.rlike("-00-") & ~x.rlike("-0000$")
 
@@ -85,7 +96,7 @@ KINDS = (
         lambda x: F.length(_digits(x)).between(10, 15), 0.7, r"phone|(?:^|[^a-z])tel|call|mobile|fax|contact", 0.3,
     ),
     Kind(
-        "iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", "[A-Z]{2}[0-9]{2}", _mod97, 0.8, r"iban|account|bank|konto|compte|cuenta", 0.2,
+        "iban", _iban, "[A-Z]{2}[0-9]{2}", _mod97, 0.8, r"iban|account|bank|konto|compte|cuenta", 0.2,
         base=False, before="[A-Za-z0-9]", after="[A-Za-z0-9]",
     ),
     Kind(
@@ -136,7 +147,10 @@ def spans(text: Column, kind: Kind) -> Column:
 
     def found(gaps: Column, matches: Column, starts: Column) -> Column:
         def one(value: Column, i: Column) -> Column:
-            near = F.lower(F.concat(F.right(gaps[i], F.lit(NEAR)), F.lit(" "), F.left(gaps[i + 1], F.lit(NEAR))))
+            # gaps and matches on either side, as many as NEAR characters can hold
+            left = F.transform(F.sequence(F.greatest(i - AROUND, F.lit(0)), i), lambda j: F.right(F.concat(F.when(j > 0, matches[F.greatest(j - 1, F.lit(0))]).otherwise(F.lit("")), gaps[j]), F.lit(NEAR)))
+            right = F.transform(F.sequence(i + 1, F.least(i + 1 + AROUND, F.size(gaps) - 1)), lambda j: F.left(F.concat(gaps[j], F.when(j < F.size(gaps) - 1, matches[F.least(j, F.size(gaps) - 2)]).otherwise(F.lit(""))), F.lit(NEAR)))
+            near = F.lower(F.concat(F.right(F.array_join(left, ""), F.lit(NEAR)), F.lit(" "), F.left(F.array_join(right, ""), F.lit(NEAR))))
             valid = kind.valid(value)
             if kind.before:
                 valid &= ~F.right(gaps[i], F.lit(1)).rlike(kind.before)
@@ -179,7 +193,11 @@ def _written(found: Column) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Counts by kind, the digest of the base kinds' spans, all spans and their scores, for every row."""
+    """Counts by kind, the digest of the base kinds' spans, all spans and their scores, for every row.
+
+    A null text counts as an empty one; repeated rows and rows without an id are told once
+    each; an empty table gives an empty result.  Columns other than doc_id and text are ignored.
+    """
     found = find(docs)
     count = lambda name: F.size(F.filter("found", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
     base = F.filter("found", lambda s: s["rank"] < len(BASE))
@@ -226,14 +244,14 @@ def _oracle() -> str:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 k(kind, rank, pattern, context, low, high, before, after) AS (VALUES {values}),
 m AS (
-  SELECT r, k.*, string_split_regex(t, pattern) AS g, regexp_extract_all(t, pattern) AS v FROM d, k
+  SELECT r, t, k.*, string_split_regex(t, pattern) AS g, regexp_extract_all(t, pattern) AS v FROM d, k
   WHERE regexp_matches(t, '[0-9@]') AND regexp_matches(t, pattern)
 ),
 x AS (
-  SELECT r, kind, rank, v[i] AS v, g[i] AS gb, g[i + 1] AS ga, before, after, regexp_replace(v[i], '[^0-9]', '', 'g') AS digits,
-         CAST(list_sum(list_transform(g[1 : i], lambda s: length(s))) + coalesce(list_sum(list_transform(v[1 : i - 1], lambda s: length(s))), 0) AS BIGINT) AS a,
-         CASE WHEN regexp_matches(lower(right(g[i], {NEAR}) || ' ' || left(g[i + 1], {NEAR})), context) THEN high ELSE low END AS score
-  FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM m)
+  SELECT *, CASE WHEN regexp_matches(lower(substring(t, greatest(1, a + 1 - {NEAR}), least(a, {NEAR})) || ' ' || substring(t, a + length(v) + 1, {NEAR})), context) THEN high ELSE low END AS score
+  FROM (SELECT r, t, kind, rank, context, low, high, v[i] AS v, g[i] AS gb, g[i + 1] AS ga, before, after, regexp_replace(v[i], '[^0-9]', '', 'g') AS digits,
+         CAST(list_sum(list_transform(g[1 : i], lambda s: length(s))) + coalesce(list_sum(list_transform(v[1 : i - 1], lambda s: length(s))), 0) AS BIGINT) AS a
+  FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM m))
 ),
 ok AS (
   SELECT r, kind, rank, a, a + length(v) AS b, score FROM (SELECT *, replace(v, ' ', '') AS p FROM x)

@@ -116,6 +116,10 @@ def test_pii_beyond_the_base(spark):
     found = pii.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     kinds = [{s.split(":")[0] for s in r.spans.split(",") if s} - {"card", "phone"} for r in found]
     assert kinds == [{"iban"}, set(), {"ssn"}, set(), {"localphone"}, set()]
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "call (555) 123-4567 or (555) 987-6543", "ssn 123-45-6789, 123-45-6788, 123-45-6787, 123-45-6786 and at last 123-45-6785"]
+    found = pii.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    kinds = [collections.Counter(s.split(":")[0] for s in r.spans.split(",") if s) - collections.Counter({"card": 9, "phone": 9}) for r in found]
+    assert kinds == [{"iban": 1}, {"localphone": 2}, {"ssn": 3}] and [t[int(a) : int(b)] for t, r in zip(texts[:1], found) for _, a, b in [r.spans.split(",")[0].split(":")]] == [texts[0][5:32]]
     masked = pii.masked(spark.createDataFrame([(1, "mail a@b.co or b@c.de!"), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.text for r in masked] == ["mail [EMAIL] or [EMAIL]!", None]
 
