@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over documents, each deciding on all that the one before kept.
 
 Every stage decides by row: where rows share a ``doc_id``, or have none, the stages that
-drop duplicates tell them apart by text.
+drop duplicates tell them apart by text.  A null text counts as an empty one and stays null
+where its row stays; an empty table gives an empty result.  Stages return ``COLUMNS``,
+others are dropped, so no column's name can clash with one of an operator.
 """
 
 from __future__ import annotations

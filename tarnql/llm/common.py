@@ -52,7 +52,7 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` over slices of bounded size."""
+    """``mapInArrow`` over slices of bounded size; the session's Arrow batches are bounded by bytes from then on."""
     ship(df.sparkSession)
     _small_batches(df.sparkSession)
     return df.mapInArrow(lambda batches: _released(function(slices(batches))), schema)

@@ -415,7 +415,8 @@ def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop:
     found = index.sparkSession.createDataFrame([], schema)
     for phrases in blocks(_items(benchmark), window, block_windows):
         sent = _ranked(index, phrases)
-        found = found.unionByName(common.map_arrow(index, lambda b, sent=sent: _matched(b, sent, item_type, window, slop), schema))
+        found = found.unionByName(common.stored(common.map_arrow(index, lambda b, sent=sent: _matched(b, sent, item_type, window, slop), schema)))
+        sent.unpersist()  # a worker holds one block at a time
     return found
 
 
