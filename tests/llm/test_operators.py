@@ -527,6 +527,7 @@ def test_classifiers(spark, odd, nothing, labels):
     assert toxicity.score(nothing, labels).count() == 0 and {r.score for r in toxicity.score(odd, labels.limit(0)).collect()} == {0.0}
     found = quality.annotate(odd, labels, "q").collect()
     assert len(found) == odd.count() and all(0 <= r.q <= 1 for r in found) and found[0].fp == "x"
+    assert len({r.q for r in found if r.doc_id == 2}) == 1 == len({r.score for r in scored if r.doc_id == 2})  # repeated rows
     assert {r.q for r in quality.annotate(odd, labels.limit(0), "q").collect()} == {quality.THRESHOLD}
     with pytest.raises(ValueError, match="score"):
         quality.annotate(odd, labels)
