@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .errors import QueryError
+from .functions.scalars import name
 from .plans.lower import query
 from .sources import fsck, ingest, sink
 from .sources.catalog import Catalog
@@ -279,7 +280,7 @@ def run(spark: SparkSession, sf_dir: str, pair: Pair) -> DataFrame:
     df = query(spark, catalog(sf_dir), pair.text)
     if pair.digits is None:
         return df
-    return df.select(*[F.round(f.name, pair.digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema])
+    return df.selectExpr(*[f"round({name(f.name)}, {pair.digits}) AS {name(f.name)}" if isinstance(f.dataType, T.DoubleType) else name(f.name) for f in df.schema])
 
 
 RANGES = ((0, 10_000), (10_000, 20_000), (20_000, None))
