@@ -305,11 +305,12 @@ def _scored(batches, corpus, model, kind):
     c, m = corpus.value, gru.unpacked(model.value)[0]
     totals = []
     for batch in batches:
-        for k in range(batch.num_rows):
-            row = batch.slice(k, 1).to_pylist()[0]
-            if row["range"] is not None:
-                totals.append(np.frombuffer(row["totals"], "<i8"))
+        # a chunk has as many rows of totals as there are ranges: of these only one column is looked at
+        for k, (part, own) in enumerate(zip(batch.column("range").to_pylist(), batch.column("totals").to_pylist())):
+            if part is not None:
+                totals.append(np.frombuffer(own, "<i8"))
                 continue
+            row = batch.slice(k, 1).to_pylist()[0]
             counts, totals = np.concatenate(totals), []
             tokens, ids, lengths = _numbers(row, c)
             log_base = np.log10((counts + 0.5) / (c.n + 0.5 * (c.v + 1)))

@@ -793,6 +793,49 @@ def test_training_reaches_32_tokens_back(monkeypatch):
     assert windows[0] == (32, 100)
 
 
+def test_windows_use_the_same_arrays(monkeypatch):
+    """After the first one a window allocates little, and its results are those of a window with arrays of its own."""
+    import tracemalloc
+
+    ids = np.random.default_rng(3).integers(0, gru.START, 128 * 32 * 5).astype(np.int32)
+    lengths, m, fresh, real = np.full(64 * 5, 64), gru.fresh(np.full(gru.HEAD, 20.0), np.full(gru.TAIL, 20.0)), [], gru._gradients
+
+    def watched(*given):
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        out = real(*given)
+        fresh.append(tracemalloc.get_traced_memory()[1] - before)
+        return out
+
+    monkeypatch.setattr(gru, "_gradients", watched)
+    tracemalloc.start()
+    a = gru.train(m, gru.still(m), ids, lengths)
+    tracemalloc.stop()
+    assert len(fresh) > 2 and max(fresh[1:]) < 1_000_000
+    monkeypatch.setattr(gru, "_gradients", lambda m, x, y, h, full, *_: real(m, x, y, h, full))
+    b = gru.train(m, gru.still(m), ids, lengths)
+    assert all((x[k] == y[k]).all() for x, y in zip(a[:2], b) for k in gru.NAMES) and a[2] == b[2]
+
+
+def test_a_window_adds_up_its_lanes():
+    """Also lanes that end within it, and texts that start there."""
+    rng, m = small_model(4)
+    x, y, h = rng.integers(0, gru.START, (9, 4)), rng.integers(0, gru.START, (9, 4)), rng.normal(0, 1, (4, gru.HIDDEN))
+    x[0, 0] = x[4, 1] = gru.START
+    ends = (9, 9, 6, 1)
+    for k, end in enumerate(ends):
+        y[end:, k], x[end:, k] = -1, gru.START
+    g, (rows, dE), last, loss = gru._gradients(m, x, y, h, 1)
+    alone = [gru._gradients(m, x[:end, k : k + 1], y[:end, k : k + 1], h[k : k + 1], 1) for k, end in enumerate(ends)]
+    assert math.isclose(loss, sum(a[3] for a in alone), rel_tol=1e-6) and np.allclose(last[:2], [a[2][0] for a in alone[:2]], rtol=1e-5)
+    assert all(np.allclose(v, sum(a[0][name] for a in alone), rtol=1e-4, atol=1e-5) for name, v in g.items())
+    whole, parts = np.zeros(m["E"].shape), np.zeros(m["E"].shape)
+    whole[rows] += dE
+    for _, (own, d), _, _ in alone:
+        parts[own] += d
+    assert np.allclose(whole, parts, rtol=1e-4, atol=1e-5)
+
+
 def test_a_long_text_trains_in_pieces():
     assert gru.pieces(np.array([1, 5, 6, 10]), 5).tolist() == [1, 5, 5, 1, 5, 5]
     ids = np.arange(3 * gru.PIECE + 10, dtype=np.int32) % 50
