@@ -28,41 +28,71 @@ _digit = np.zeros(256, np.int64)
 _digit[48:58] = 1
 
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sums of their numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[order], first)
+
+
 def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse vectors of some texts: rows, features, values."""
-    hashes, counts, shapes = [], np.zeros(len(texts), np.int64), []
+    """Sparse vectors of some texts: rows, features, values.
+
+    Features are counted block by block: beside the vectors, only one block's tokens are held, however long a text is.
+    """
+    found, numbers, before = [], [], None
     for who, parts in text.blocks(texts, text.RUNS):
         raw = np.frombuffer(b"\n".join(parts), np.uint8)
         if not len(raw):
             continue
         buf = np.frombuffer(raw.tobytes().lower(), np.uint8)
         starts, ends = text.spans(buf, text.RUNS)
-        np.add.at(counts, who, np.diff(np.searchsorted(starts, np.cumsum([0] + [len(p) + 1 for p in parts]))))
-        hashes.append(text.stretch_hashes(text.prefix_sums(buf), starts, ends))
+        if not len(starts):
+            continue
+        doc = np.repeat(np.array(who, np.int64), np.diff(np.searchsorted(starts, np.cumsum([0] + [len(p) + 1 for p in parts]))))
+        h = text.stretch_hashes(text.prefix_sums(buf), starts, ends)
         capitals, digits = (np.concatenate([[0], np.cumsum(t[raw])]) for t in (_upper, _digit))
         n_upper = capitals[ends] - capitals[starts]
         shape = np.minimum(n_upper, 2) + 3 * (n_upper == ends - starts) + 6 * (digits[ends] > digits[starts])
-        shapes.append(shape.astype(np.uint64) + np.uint64(16))
-    if not counts.any():
+        # a text that is cut goes on in the next block: the token before makes a pair with its first one
+        docs, hs = (doc, h) if before is None else (np.append(before[0], doc), np.append(before[1], h))
+        before = doc[-1:], h[-1:]
+        with np.errstate(over="ignore"):
+            inside = np.flatnonzero(docs[1:] == docs[:-1])
+            pairs = text.mix(hs[inside] * _PAIR + hs[inside + 1])
+            same = inside[hs[inside] == hs[inside + 1]]
+            shape = text.mix((shape.astype(np.uint64) + np.uint64(16)) * _SHAPE)
+        keys = np.concatenate([h, pairs, shape, np.full(len(same), _REPEAT)])
+        rows = np.concatenate([doc, docs[inside], doc, docs[same]])
+        both = np.sort((rows << bits) | (keys >> np.uint64(64 - bits)).astype(np.int64))
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        both, n = both[first], np.diff(np.append(first, len(both)))
+        if found and found[-1][-1] >> bits == both[0] >> bits:
+            both, n = _summed(np.append(found.pop(), both), np.append(numbers.pop(), n))
+        found.append(both)
+        numbers.append(n)
+    if not found:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.float32)
-    h, s = np.concatenate(hashes), np.concatenate(shapes)
-    doc = np.repeat(np.arange(len(texts)), counts)
-    with np.errstate(over="ignore"):
-        inside = np.flatnonzero(doc[1:] == doc[:-1])
-        pairs = text.mix(h[inside] * _PAIR + h[inside + 1])
-        same = inside[h[inside] == h[inside + 1]]
-        shape = text.mix(s * _SHAPE)
-    keys = np.concatenate([h, pairs, shape, np.full(len(same), _REPEAT)])
-    rows = np.concatenate([doc, doc[inside], doc, doc[same]])
-    both = np.sort((rows << bits) | (keys >> np.uint64(64 - bits)).astype(np.int64))
-    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-    n = np.sqrt(np.diff(np.append(first, len(both)))).astype(np.float64)
-    rows, cols = both[first] >> bits, both[first] & ((1 << bits) - 1)
+    both, n = np.concatenate(found), np.sqrt(np.concatenate(numbers)).astype(np.float64)
+    rows, cols = both >> bits, both & ((1 << bits) - 1)
     norm = np.sqrt(np.bincount(rows, n * n, len(texts)))
     return rows, cols, (n / norm[rows]).astype(np.float32)
 
 
+def _groups(texts: list[bytes]):
+    """Yields (first, end): neighbouring texts of about ``text.BLOCK`` bytes, or one that is longer."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t) > text.BLOCK:
+            yield first, i
+            first, size = i, 0
+        size += len(t)
+    if texts:
+        yield first, len(texts)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -100,8 +130,11 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits:
 
 def predict(model: tuple[np.ndarray, float], texts: list[bytes], bits: int = BITS) -> np.ndarray:
     w, bias = model
-    rows, cols, vals = features(texts, bits)
-    return sigmoid(np.bincount(rows, w[cols].astype(np.float64) * vals, len(texts)) + bias)
+    sums = np.zeros(len(texts))
+    for first, end in _groups(texts):  # vectors take many times their texts' bytes
+        rows, cols, vals = features(texts[first:end], bits)
+        sums[first:end] = np.bincount(rows, w[cols].astype(np.float64) * vals, end - first)
+    return sigmoid(sums + bias)
 
 
 def _sampled(batches):
@@ -109,10 +142,11 @@ def _sampled(batches):
 
     for batch in batches:
         texts = text.utf8(batch.column("text"))
-        rows, cols, vals = features(texts)
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(texts)))]).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (cols.astype(np.int32), vals)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], names=["doc_id", "label", "cols", "vals"])
+        for first, end in _groups(texts):
+            rows, cols, vals = features(texts[first:end])
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=end - first))]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (cols.astype(np.int32), vals)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, end - first) for c in ("doc_id", "label")), *lists], names=["doc_id", "label", "cols", "vals"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = common.SAMPLE_ROWS) -> tuple[np.ndarray, float] | None:

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -478,6 +479,33 @@ def test_quality_features_are_those_of_a_plain_count():
         assert mine.keys() == wanted.keys() and all(math.isclose(mine[c], wanted[c], rel_tol=1e-5) for c in wanted)
 
 
+def test_quality_takes_memory_for_a_block_and_not_for_a_batch():
+    r = random.Random(0)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 8))) for _ in range(5000)]
+    whole = " ".join(r.choices(words, k=2_600_000)).encode()[: common.BATCH_BYTES]
+    model = np.ones(1 << quality.BITS, np.float32), 0.0
+    for texts in ([whole[k : k + 16_000] for k in range(0, len(whole), 16_000)], [whole]):
+        quality.predict(model, texts[:1])
+        tracemalloc.start()
+        quality.predict(model, texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 150e6, peak  # about 80 MB; all of a batch's features at once took over 500 MB
+
+
+def test_quality_scores_dont_depend_on_blocks(monkeypatch):
+    r = random.Random(1)
+    texts = [" ".join(r.choices(["a", "A1", "the", "The", "!!", "x" * 90, " " * 70, "\xe9"], k=r.choice([0, 1, 5, 200]))).encode() for _ in range(60)]
+    model = np.random.default_rng(0).normal(size=1 << quality.BITS).astype(np.float32), 0.5
+    vectors, scores = quality.features(texts), quality.predict(model, texts)
+    for size in (16, 64, 1000):
+        monkeypatch.setattr(text, "BLOCK", size)
+        assert all(np.array_equal(a, b) for a, b in zip(vectors, quality.features(texts))) and np.array_equal(scores, quality.predict(model, texts))
+        groups = list(quality._groups(texts))
+        assert [k for a, b in groups for k in range(a, b)] == list(range(60)) and len(groups) > 1
+        assert all(b - a == 1 or sum(map(len, texts[a:b])) <= size for a, b in groups)
+
+
 def test_follow_the_regularised_leader_is_that_of_plain_loops(monkeypatch):
     r = random.Random(0)
     samples = [(np.array(sorted(r.sample(range(12), r.randint(0, 6))), np.int64), None) for _ in range(40)]
