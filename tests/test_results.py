@@ -101,6 +101,15 @@ def test_inventory(spark):
         assert_same(df.select(*wanted.columns).collect(), wanted.fetchall())
 
 
+def test_encodings_keep_equal_rows_and_nulls(spark, tmp_path):
+    con = duck(TESTDATA)
+    some = "SELECT * FROM lineitem LIMIT 50"
+    nulls = ", ".join(f"CASE WHEN n % 7 <> {k} THEN {c} END AS {c}" for k, c in enumerate(("l_orderkey", "l_linenumber", "l_discount", "l_quantity", "l_shipdate")))
+    con.sql(f"COPY (SELECT {nulls}, l_returnflag FROM (SELECT *, row_number() OVER () AS n FROM ({some})), range(3)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    df, wanted = queries.QUERIES["s7_encodings"](spark, str(tmp_path)), duck(tmp_path).sql(queries.ORACLE_SQL["s7_encodings"])
+    assert_same(df.select(*wanted.columns).collect(), wanted.fetchall())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(queries.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
