@@ -109,7 +109,11 @@ def _pair_links(listed: DataFrame) -> DataFrame:
 
 
 def _ball_links(nodes: DataFrame) -> DataFrame:
-    """Links of all nodes within three bits of each other, without pairing them."""
+    """Links of all nodes within three bits of each other, without pairing them.
+
+    The planner takes exploded rows for as small as the nodes that they come from (2,081 of
+    them a node), so the join of a small crowd would be a broadcast of millions: it is told to merge.
+    """
 
     def ball(flips):
         flipped = F.array(*[F.lit(_long(sum(1 << b for b in bits))).cast("long") for bits in flips])
@@ -120,7 +124,7 @@ def _ball_links(nodes: DataFrame) -> DataFrame:
     hubs = inner.groupBy("centre").agg(F.min("fp").alias("a"))
     return (
         inner.unionByName(outer)
-        .join(hubs, "centre")
+        .join(hubs.hint("merge"), "centre")
         .where((F.col("a") != F.col("fp")) & _near("a", "fp"))
         .select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
         .distinct()
@@ -131,7 +135,8 @@ def links(nodes: DataFrame, hot: int = HOT, m: int | None = None) -> DataFrame:
     """Links (a < b) between distinct fingerprints that connect all that lie within three bits."""
     listed = _listings(nodes, m or blocks_for(nodes.count()))
     sizes = listed.groupBy("pair", "bits").count().where(F.col("count") > 1)
-    shared = common.stored(listed.join(sizes, ["pair", "bits"]))
+    # as in _ball_links: ten rows of a node or more, which the planner doesn't count
+    shared = common.stored(listed.join(sizes.hint("merge"), ["pair", "bits"]))
     found = _pair_links(shared.where(F.col("count") <= hot))
     crowd = shared.where(F.col("count") > hot).select("fp").distinct()
     if not crowd.isEmpty():

@@ -693,6 +693,19 @@ def test_crowded_listings_lose_no_link(spark):
         assert [found.get(s, s) for s in signed] == wanted
 
 
+def test_exploded_rows_are_not_broadcast(spark):
+    """The planner takes them for as small as their nodes; both sets of nodes are far below its threshold."""
+    crowd = F.expr("xxhash64(id) & ((1L << 38) - 1) | (5L << 38)").alias("fp")
+    limit = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "8m")
+    try:
+        assert simhash.links(common.stored(spark.range(simhash.HOT + 50).select(crowd))).count() == 0  # far apart, but listed together
+        assert simhash.links(common.stored(spark.range(40_000).select(F.xxhash64("id").alias("fp")))).count() == 0
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_every_close_pair_shares_a_listing():
     r = random.Random(6)
     assert [simhash.blocks_for(n) for n in (0, 1 << 25, (1 << 25) + 1, 1 << 33, 10**14)] == [5, 5, 6, 7, 9]
