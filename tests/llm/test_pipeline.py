@@ -4,9 +4,10 @@ import pathlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnql.llm import decontam, exact, quality
+from tarnql.llm import decontam, exact, quality, simhash
 
 TESTDATA = "/root/testdata/sf0.001"
 
@@ -105,3 +106,19 @@ def test_near_stage_tells_rows_without_an_id_or_of_one_id_apart(spark, docs):
     made = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
     out = [(r.doc_id, r.text.removesuffix(" end")) for r in corpus_pipeline.near_stage(spark, made, TESTDATA).collect()]
     assert sorted(out, key=str) == sorted([(1, a), (None, b), (3, c), (7, d)], key=str)
+
+
+def test_near_stage_broadcasts_no_crowd(spark, monkeypatch):
+    """A crowd's 2,081 rows a fingerprint stay on the executors; texts are fingerprints here."""
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.select("doc_id", F.col("text").cast("long").alias("fp")))
+    fps = F.expr("xxhash64(id) & ((1L << 38) - 1) | (5L << 38)")
+    made = spark.range(simhash.HOT + 50).select(F.col("id").alias("doc_id"), fps.cast("string").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    copy = made.where("doc_id = 7").selectExpr("doc_id + 1000 AS doc_id", "CAST(CAST(text AS long) ^ 7 AS string) AS text", "lang", "source", "n_chars")
+    limit = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "8m")
+    try:
+        out = {r.doc_id for r in corpus_pipeline.near_stage(spark, made.unionByName(copy), TESTDATA).collect()}
+    finally:
+        spark.conf.set(limit, before)
+    assert out == {*range(simhash.HOT + 50)}
